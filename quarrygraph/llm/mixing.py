@@ -53,15 +53,14 @@ def mix(rows: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
     the top bits of the hash, cumulative sums find the bucket in which the budget ends, and only the rows of that
     bucket are summed again by the next bits, until it holds one hash.  No rows are sorted, none are sampled.
     The last hash is taken or left, whichever comes nearer; rows repeated so often that one hash holds many of them
-    are taken in part, by a hash of their place.  Null texts have size 0 and null sources are a source.
+    are taken in part, by a hash of their place.  Null texts have size 0 and null sources are a source.  Columns of rows
+    named like an added one give way to it.
     """
-    spark = rows.sparkSession
-    if clash := {"size", "source_size", "target", "copies"} & set(rows.columns):
-        raise ValueError(f"rows has columns that mixing adds: {sorted(clash)}")
+    rows = rows.drop("size", "source_size", "target", "copies")
     key = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("source"))
-    hashed = lambda df: df.withColumns({"__size": words(F.col("text")), "__h": doc_hash(F.col("doc_id"), F.col("text")), "__source": key})
+    hashed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("__row"), words(F.col("text")).alias("__size"), doc_hash(F.col("doc_id"), F.col("text")).alias("__h"), key.alias("__source"))
     # the slim table that every level reads: rows of one source and hash are one row, so a hot document is no load
-    slim = shared.materialize(hashed(rows).groupBy("__source", "__h").agg(F.sum("__size").alias("__size"), F.count("*").alias("__n")), "mix")
+    slim = shared.materialize(hashed.groupBy("__source", "__h").agg(F.sum("__size").alias("__size"), F.count("*").alias("__n")), "mix")
     sizes = slim.groupBy("__source").agg(F.sum("__size").alias("source_size"))
     named = sizes.select(F.when(~F.col("__source.none"), F.col("__source.source")).alias("source"), "source_size")
     targets = source_targets(named, share, most).select(key.alias("__source"), "source_size", "target")
@@ -90,12 +89,12 @@ def mix(rows: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
     bound = rest.join(near(plan.select("__source", "__low", "__need")), "__source").where((F.col("__need") > 0) & (F.shiftright("__h", shift) == F.shiftright("__low", shift)))
     bound = bound.groupBy("__source").agg(F.max("__h").alias("__edge"), F.sum("__size").alias("__edge_size"), F.sum("__n").alias("__edge_n"))
     ready = shared.materialize(plan.drop("__hashes").join(bound, "__source", "left"), "mix")
-    out = hashed(rows).join(near(ready), "__source")
+    out = hashed.join(near(ready), "__source")
     part = F.col("__need") / F.col("__edge_size")
     chance = F.when(F.col("__edge_n") <= 1, F.when(part > 0.5, 1.0).otherwise(0.0)).otherwise(part)
     place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) / F.lit(float(1 << 30))
     extra = F.when((F.col("__h") < F.col("__low")) & F.col("__h").isNotNull(), 1).when((F.col("__h") == F.col("__edge")) & (place < chance), 1).otherwise(0)
-    return out.select(*[F.col(f"`{c}`") for c in rows.columns], F.col("__size").alias("size"), "source_size", "target", F.least(F.col("__whole") + extra, F.lit(int(most))).cast("int").alias("copies"))
+    return out.select(*[F.col(f"__row.`{c}`").alias(c) for c in rows.columns], F.col("__size").alias("size"), "source_size", "target", F.least(F.col("__whole") + extra, F.lit(int(most))).cast("int").alias("copies"))
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

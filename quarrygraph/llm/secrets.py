@@ -55,13 +55,12 @@ def find_secrets(docs: DataFrame, owner: Column | None = None, repository: Colum
     by a 128-bit hash).  A value of ``example_owners`` owners or more is a widely copied example, others are live-looking;
     base spans (assign, access, hex) always stay, opaque ones only where live.  Owner is by default the source, a
     repository a source's language part.  Null owners are one owner.  Repeated rows count once; null, empty and very
-    long texts are scanned whole; other columns stay (``secrets`` itself and ``__key`` must not be among them).
+    long texts are scanned whole; other columns stay, but for one named ``secrets``, which gives way.
 
     Counts aggregate (value, owner) pairs before the exchange, so a value in a third of all rows is no load; documents
     without a candidate skip the join back.
     """
-    if clash := {"secrets", "__key", "__spans"} & set(docs.columns):
-        raise ValueError(f"docs has columns that the scan adds: {sorted(clash)}")
+    docs = docs.drop("secrets")
     owner = F.coalesce(F.col("source"), F.lit("")) if owner is None else owner
     repository = F.concat_ws("/", owner, F.coalesce(F.col("lang"), F.lit(""))) if repository is None else repository
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -76,11 +75,12 @@ def find_secrets(docs: DataFrame, owner: Column | None = None, repository: Colum
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("s.kind") + 1)
     one = F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("k"), F.struct(kind.alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.value").alias("value"), "owners", "repositories", "live").alias("secret"))
     spans = judged.groupBy("__key").agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["secret"]).alias("secrets"))
-    some = text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(HEX) | text.rlike(OPAQUE)
+    # whole rows travel as one column, so their names can't clash with ours
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), key.alias("__key"), (text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(HEX) | text.rlike(OPAQUE)).alias("__some"))
     none = F.array().cast(spans.schema["secrets"].dataType)
-    without = docs.where(~some).withColumn("secrets", none)
-    within = docs.where(some).withColumn("__key", key).join(spans, "__key", "left").withColumn("secrets", F.coalesce("secrets", none)).drop("__key")
-    return within.unionByName(without)
+    without = packed.where("not __some").select("__row", none.alias("secrets"))
+    within = packed.where("__some").join(spans, "__key", "left").select("__row", F.coalesce("secrets", none).alias("secrets"))
+    return within.unionByName(without).select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns], "secrets")
 
 
 def redact(found: DataFrame) -> DataFrame:
