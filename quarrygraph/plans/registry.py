@@ -1,5 +1,9 @@
 """Named queries over the driver tables, with the same results in plain SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+from __future__ import annotations
+
+from . import kg_queries, src_queries
+
+QUERIES: dict = {**src_queries.QUERIES, **kg_queries.QUERIES}
+ORACLES: dict = {**src_queries.ORACLES, **kg_queries.ORACLES}
+FLAGSHIP = "src_relation_histogram"
