@@ -76,7 +76,7 @@ def find_secrets(docs: DataFrame, owner: Column | None = None, repository: Colum
     one = F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("k"), F.struct(kind.alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.value").alias("value"), "owners", "repositories", "live").alias("secret"))
     spans = judged.groupBy("__key").agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["secret"]).alias("secrets"))
     # whole rows travel as one column, so their names can't clash with ours
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), key.alias("__key"), (text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(HEX) | text.rlike(OPAQUE)).alias("__some"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), key.alias("__key"), (F.size(candidate_spans(text)) > 0).alias("__some"))
     none = F.array().cast(spans.schema["secrets"].dataType)
     without = packed.where("not __some").select("__row", none.alias("secrets"))
     within = packed.where("__some").join(spans, "__key", "left").select("__row", F.coalesce("secrets", none).alias("secrets"))
