@@ -207,7 +207,6 @@ def relations_of(facts: DataFrame, entities: DataFrame, macros: DataFrame | None
 
 def extract(files: DataFrame, macros: DataFrame | None = None, mode: str = "intended") -> Graph:
     """The graph of a corpus (file, content); macros as sources.macro_table() gives them."""
-    facts = file_facts(files, mode)
-    facts = facts.persist()  # parsed once, read by every extractor
-    entities = entities_of(facts, files)
-    return Graph(entities, relations_of(facts, entities, macros, mode), facts, mode)
+    facts = file_facts(files, mode).persist()  # parsed once, read by every extractor
+    entities = entities_of(facts, files).persist()  # numbered once, read by every symbol table
+    return Graph(entities, relations_of(facts, entities, macros, mode).persist(), facts, mode)
