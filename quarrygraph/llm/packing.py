@@ -122,14 +122,12 @@ def pack(pieces: DataFrame, seq_len: int = 2048, rows_per_partition: int = 100_0
     space is certified and stays; the others give up their gappy bins, whose pieces are exchanged into fewer, new partitions and packed
     again, until the total meets the bound of all lengths, nothing more is given up, or a round saves nothing.
     Partitions hold a bounded number of rows, whatever the input.  Lengths must be 1 to ``seq_len``; an empty input
-    gives an empty result.  Columns that clash with the added ones (sequence_id, offset) are not allowed.
+    gives an empty result.  Columns named like an added one (sequence_id, offset, given_up) give way to it.
     """
     spark = pieces.sparkSession
     shared.ship(spark)
     slack = seq_len // 256 if slack is None else slack
-    clash = {"sequence_id", "offset", "given_up", "part"} & set(pieces.columns)
-    if clash:
-        raise ValueError(f"pieces has columns that packing adds: {sorted(clash)}")
+    pieces = pieces.drop("sequence_id", "offset", "given_up")
     pieces = shared.materialize(pieces, "pack")
     schema = pieces.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
     histogram = pieces.groupBy("length").count()  # at most seq_len rows

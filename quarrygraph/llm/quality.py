@@ -138,10 +138,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 3000) -> Network:
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
-    """docs with ``score``: narrow, whole texts, null texts as empty; other columns stay."""
+    """docs with ``score``: narrow, whole texts, null texts as empty; other columns stay, but for one named ``score``, which gives way."""
     shared.ship(docs.sparkSession)
-    if "score" in docs.columns:
-        raise ValueError("docs has a column score")
+    docs = docs.drop("score")
     net_p = net.p
 
     import pandas as pd

@@ -16,12 +16,11 @@ def two_pass_shuffle(rows: DataFrame, n_shards: int, bucket_bytes: int = 8 << 20
     Buckets follow one another, so a record's global place is its bucket's start plus its place there, and shards
     are equal stretches of places.  The hash takes the record's place, not its content, so repeated rows, null ids and
     hot keys spread like any others.  ``weight``: bytes of a row, by which buckets are sized to fit memory.
-    All columns stay, whatever their names; added are ``shard`` int and ``slot`` long.  An empty table stays empty.
+    All columns stay, but for ones named like the added ``shard`` int and ``slot`` long, which give way.  An empty table stays empty.
     """
     spark = rows.sparkSession
+    rows = rows.drop("shard", "slot")
     columns = rows.columns
-    if clash := {"shard", "slot"} & set(columns):
-        raise ValueError(f"rows has columns that sharding adds: {sorted(clash)}")
     weight = F.lit(1024) if weight is None else weight
     held = rows.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), weight.cast("long").alias("bytes"), F.monotonically_increasing_id().alias("at"))
     held = shared.materialize(held, "scatter")  # places are fixed from here on, also for tasks that run again
