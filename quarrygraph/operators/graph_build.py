@@ -96,21 +96,17 @@ class Symbols:
         joined = joined.join(local, _all([*on(), F.col("file") == F.col("__file")]), "left").drop(*drop, "__file")
         return joined.withColumn(out, F.coalesce("__own", "__any")).drop("__own", "__any")
 
-    def resolve(self, df: DataFrame, functions: bool, globals_: bool, fields: bool) -> DataFrame:
-        """Candidates (file, fn, name, is_field) with ids: the first of function, variable here, global variable, fields by name."""
-        out = df
-        if functions:
-            out = self.function(out, "name", "__f")
+    def resolve(self, df: DataFrame) -> DataFrame:
+        """Candidates (file, kind, fn, name, is_field) with ids: the first of function, variable here, global variable, fields
+        by name.  Returned names are never functions or, by name alone, fields; shipped calls don't look at globals."""
+        called, returned = F.col("kind") == "CALL", F.col("kind") == "RETURN"
+        out = self.function(df, "name", "__f")
         out = self.variable(out, "name", F.col("fn"), "__v")
-        if globals_:
-            out = self.variable(out, "name", F.lit("global"), "__g")
+        out = self.variable(out, "name", F.lit("global"), "__g")
         out = out.join(self.fields.select(F.col("name").alias("__n"), F.col("ids").alias("__l")), F.col("name") == F.col("__n"), "left").drop("__n")
-        single = lambda c: F.when(F.col(c).isNotNull(), F.array(c))
-        tried = [single(c) for c, use in (("__f", functions), ("__v", True), ("__g", globals_)) if use]
-        if fields:
-            tried.append(F.col("__l"))
-        ids = F.when(F.col("is_field"), F.col("__l")).otherwise(F.coalesce(*tried))
-        return out.withColumn("ids", ids).drop("__f", "__v", "__g", "__l")
+        single = lambda c, use=F.lit(True): F.when(F.col(c).isNotNull() & use, F.array(c))
+        found = F.coalesce(single("__f", ~returned), single("__v"), single("__g", ~called if self.shipped else F.lit(True)), F.when(~returned, F.col("__l")))
+        return out.withColumn("ids", F.when(F.col("is_field"), F.col("__l")).otherwise(found)).drop("__f", "__v", "__g", "__l")
 
 
 def _all(conditions: list) -> Column:
@@ -123,8 +119,8 @@ def _all(conditions: list) -> Column:
 def macro_in_side(sides: DataFrame, macros: DataFrame | None, callee_end: bool) -> DataFrame:
     """sides with ``expanded``: the text of the first macro entry that lies inside the side's range, in the same file.
 
-    A range join on the file with containment as its residual.  With ``callee_end`` the macro must also begin before
-    the end of the callee.
+    A range join on the file with containment as its residual.  With ``callee_end`` a call's macro must also begin
+    before the end of the callee.
     """
     if macros is None:
         return sides.withColumn("expanded", F.lit(None).cast("string"))
@@ -132,24 +128,23 @@ def macro_in_side(sides: DataFrame, macros: DataFrame | None, callee_end: bool)
     at = lambda line, col: F.struct(F.col(line).alias("line"), F.col(col).alias("col"))
     inside = (F.col("file") == F.col("__file")) & (at("side.start_line", "side.start_col") <= F.col("__start")) & (F.col("__end") <= at("side.end_line", "side.end_col"))
     if callee_end:
-        inside = inside & (F.col("__start") < at("callee.end_line", "callee.end_col"))
+        inside = inside & ((F.col("kind") != "CALL") | (F.col("__start") < at("callee.end_line", "callee.end_col")))
     hits = sides.join(m, inside).groupBy("file", "kind", "seq", "s").agg(F.min_by("__text", "ord").alias("expanded"))
     return sides.join(hits, ["file", "kind", "seq", "s"], "left").withColumn("expanded", F.when(F.col("expanded") != "", F.col("expanded")))
 
 
-def resolve_references(facts: DataFrame, symbols: Symbols, macros: DataFrame | None, kind: str) -> DataFrame:
-    """References of a kind with ``ids``, an array of arrays: what each side resolves to (null: nothing)."""
-    refs = facts.where(F.col("kind") == kind).select("file", "kind", "seq", "fn", F.posexplode("sides").alias("s", "side"), F.element_at("sides", -1).alias("callee"))
-    if kind == "CALL":
-        refs = refs.where("s = 0")
-    looked = refs if kind == "RETURN" else macro_in_side(refs, macros, callee_end=kind == "CALL" and not symbols.shipped)
-    if kind == "RETURN":
-        looked = looked.withColumn("expanded", F.lit(None).cast("string"))
-    own = F.col("side.cands")
-    cands = F.when(F.col("expanded").isNotNull(), F.array(F.struct(F.col("expanded").alias("name"), F.lit(False).alias("is_field")))).otherwise(own)
-    each = looked.select("file", "seq", "fn", "s", F.posexplode(cands).alias("pos", "c")).select("file", "seq", "fn", "s", "pos", "c.name", "c.is_field")
-    found = symbols.resolve(each, functions=kind != "RETURN", globals_=kind != "CALL" or not symbols.shipped, fields=kind != "RETURN")
-    return found.where("ids is not null").groupBy("file", "seq", "fn", "s").agg(F.min_by("ids", "pos").alias("ids"))
+def resolve_references(facts: DataFrame, symbols: Symbols, macros: DataFrame | None) -> DataFrame:
+    """Sides of calls, assignments and returns with ``ids``, an array: what the side resolves to; and ``owner``, the
+    function around it.  One pass of joins serves all kinds."""
+    refs = facts.where(F.col("kind").isin("CALL", "ASSIGN", "RETURN")).select("file", "kind", "seq", "fn", F.posexplode("sides").alias("s", "side"), F.element_at("sides", -1).alias("callee"))
+    refs = refs.where("kind <> 'CALL' or s = 0")
+    looked = macro_in_side(refs, macros, callee_end=not symbols.shipped)
+    # what is returned is not looked up among macros
+    expanded = F.when(F.col("kind") != "RETURN", F.col("expanded"))
+    cands = F.when(expanded.isNotNull(), F.array(F.struct(expanded.alias("name"), F.lit(False).alias("is_field")))).otherwise(F.col("side.cands"))
+    each = looked.select("file", "kind", "seq", "fn", "s", F.posexplode(cands).alias("pos", "c")).select("file", "kind", "seq", "fn", "s", "pos", "c.name", "c.is_field")
+    found = symbols.resolve(each).where("ids is not null").groupBy("file", "kind", "seq", "fn", "s").agg(F.min_by("ids", "pos").alias("ids"))
+    return symbols.function(found, "fn", "owner")
 
 
 def relations_of(facts: DataFrame, entities: DataFrame, macros: DataFrame | None, mode: str) -> DataFrame:
@@ -161,11 +156,10 @@ def relations_of(facts: DataFrame, entities: DataFrame, macros: DataFrame | None
         ids = lambda c: F.transform(c, lambda x: x.cast("string"))
         return df.select(ids(head).alias("head"), ids(tail).alias("tail"), F.lit(type_).alias("type"), F.lit(RELATIONS.index(type_)).alias("phase"), F.col("file"), (F.col("seq") if seq is None else seq).cast("long").alias("seq"))
 
-    calls = symbols.function(resolve_references(facts, symbols, macros, "CALL"), "fn", "head")
-    parts = [out(calls.where("head is not null"), F.array("head"), F.col("ids"), "CALLS")]
+    sides = resolve_references(facts, symbols, macros).persist()
+    parts = [out(sides.where("kind = 'CALL' and owner is not null"), F.array("owner"), F.col("ids"), "CALLS")]
 
-    sides = resolve_references(facts, symbols, macros, "ASSIGN")
-    both = sides.groupBy("file", "seq").agg(F.max(F.when(F.col("s") == 0, F.col("ids"))).alias("l"), F.max(F.when(F.col("s") == 1, F.col("ids"))).alias("r"))
+    both = sides.where("kind = 'ASSIGN'").groupBy("file", "seq").agg(F.max(F.when(F.col("s") == 0, F.col("ids"))).alias("l"), F.max(F.when(F.col("s") == 1, F.col("ids"))).alias("r"))
     parts.append(out(both.where("l is not null and r is not null"), F.col("l"), F.col("r"), "ASSIGNED_TO"))
 
     # ids inside a file are dense, so a target's id also gives its place among the file's edges
@@ -191,8 +185,7 @@ def relations_of(facts: DataFrame, entities: DataFrame, macros: DataFrame | None
     parts.append(owned(of("PARAM"), "HAS_PARAMETER"))
     parts.append(owned(of("VARIABLE").where("scope <> 'global'"), "HAS_VARIABLE"))
 
-    returned = symbols.function(resolve_references(facts, symbols, macros, "RETURN"), "fn", "head")
-    parts.append(out(returned.where("head is not null"), F.array("head"), F.col("ids"), "RETURNS"))
+    parts.append(out(sides.where("kind = 'RETURN' and owner is not null"), F.array("owner"), F.col("ids"), "RETURNS"))
 
     if not shipped:
         members = symbols.struct(of("FIELD").select("file", "scope", "gid", F.col("gid").alias("seq")), "scope", "head").where("head is not null")
