@@ -51,3 +51,11 @@ def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def report(graph: Graph) -> DataFrame:
     """Counts of relations by type."""
     return graph.relations.groupBy("type").agg(F.count("*").alias("n"))
+
+
+def write_csv(graph: Graph, path: str) -> None:
+    """Node and edge tables with the header names that graph databases import."""
+    nodes = graph.public_entities().select(F.col("id").alias("id:ID"), "name", "scope", "role", "start_line", "end_line", "source_file", F.col("type").alias(":LABEL"))
+    edges = graph.edges().select(F.col("head").alias(":START_ID"), F.col("tail").alias(":END_ID"), F.col("type").alias(":TYPE"))
+    nodes.write.mode("overwrite").option("header", True).csv(f"{path}/nodes")
+    edges.write.mode("overwrite").option("header", True).csv(f"{path}/edges")

@@ -131,3 +131,28 @@ def test_file_source(spark, tmp_path):
 def test_normal_paths(spark):
     df = spark.createDataFrame([("./a/../b.c",), ("/x//y/./z.h",), ("../q",)], "p string")
     assert [r[0] for r in df.select(readers.normal_path(F.col("p"), "/base/in")).collect()] == ["/base/in/b.c", "/x/y/z.h", "/base/q"]
+
+
+def test_table_function(spark):
+    from quarrygraph.functions import udtf
+
+    udtf.register(spark)
+    spark.createDataFrame([("a.c", A)], "file string, content binary").createOrReplaceTempView("c_sources")
+    got = spark.sql("SELECT e.kind, e.name FROM c_sources, LATERAL c_entities(file, content) e WHERE e.kind = 'STRUCT'").collect()
+    assert [tuple(r) for r in got] == [("STRUCT", "Box")]
+
+
+def test_csv_export(spark, graphs, tmp_path):
+    writers.write_csv(graphs["intended"], str(tmp_path / "c"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "c/nodes")).columns[0] == "id:ID"
+
+
+def test_stream_upsert(spark, tmp_path):
+    from quarrygraph.operators.cst import file_facts
+    from quarrygraph.streaming.ingest import upsert_facts
+
+    at = str(tmp_path / "facts")
+    both = spark.createDataFrame([("a.c", b"int a;"), ("b.c", b"int b;")], "file string, content binary")
+    upsert_facts(file_facts(both), at)
+    upsert_facts(file_facts(spark.createDataFrame([("b.c", b"int c; int d;")], "file string, content binary")), at)
+    assert sorted((r["file"], r["name"]) for r in spark.read.parquet(at).collect()) == [("a.c", "a"), ("b.c", "c"), ("b.c", "d")]
