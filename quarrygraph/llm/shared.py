@@ -1,37 +1,19 @@
-"""What the training-data operators share: package shipping, shared scratch tables, cached token encoding, components."""
+"""What the training-data operators share: shared scratch tables, cached token encoding, components."""
 
 from __future__ import annotations
 
-import io
 import itertools
 import os
 import tempfile
 import uuid
-import zipfile
 from array import array
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_shipped: set[str] = set()
-_own_scratch: dict[str, str] = {}
-
+from ..sources.shipping import ship  # noqa: F401
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable on every executor (once per application)."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parent.parent
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    target = Path(tempfile.mkdtemp(prefix="quarrygraph-ship-")) / "quarrygraph_pkg.zip"
-    target.write_bytes(buffer.getvalue())
-    sc.addPyFile(str(target))
-    _shipped.add(sc.applicationId)
+_own_scratch: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -39,7 +21,7 @@ def scratch_root(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if app not in _own_scratch:
             _own_scratch[app] = "file://" + tempfile.mkdtemp(prefix="quarrygraph-scratch-")
