@@ -32,7 +32,7 @@ def upsert_facts(batch: DataFrame, path: str) -> None:
 
 def functions_of_stream(spark: SparkSession, files: DataFrame) -> DataFrame:
     """The functions of files fed through a stream until it is drained: file, name, start_line."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or ("file://" + tempfile.gettempdir() if spark.sparkContext.master.startswith("local") else None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or ("file://" + tempfile.gettempdir() if spark.sparkContext.master.split("[")[0] == "local" else None)
     if root is None:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     import uuid
