@@ -105,7 +105,7 @@ def signatures(bags: list, m: int = REGISTERS):
         limit = until[doc]
         while len(doc):
             step += 1
-            draw = _mix(key + np.uint64(step) * np.uint64(0x9E3779B97F4A7C15))
+            draw = _mix(key + np.uint64(step * 0x9E3779B97F4A7C15 % (1 << 64)))
             time = time - np.log(_unit(draw)) / rate
             on = time <= limit
             doc, weight, low, length, key, rate, limit, time, draw = (x[on] for x in (doc, weight, low, length, key, rate, limit, time, draw))
@@ -154,6 +154,14 @@ def sign(docs: DataFrame) -> DataFrame:
     return few.mapInArrow(run, "doc_id long, t long, bands array<long>, sketch binary")
 
 
+def _texts(needed: DataFrame, docs: DataFrame) -> DataFrame:
+    """(t, text): each text once whose hash may be needed."""
+    # at most NEED_BUCKETS rows, so this broadcast has a bound; a saturated one just thins out nothing
+    wanted = F.broadcast(needed.select(F.pmod("t", F.lit(NEED_BUCKETS)).alias("bucket")).distinct())
+    texts = docs.select(text_key(F.col("text")).alias("t"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return texts.join(wanted, F.pmod("t", F.lit(NEED_BUCKETS)) == F.col("bucket"), "left_semi").dropDuplicates(["t"])
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of text hashes whose texts have at least the similarity, by their whole multisets."""
 
@@ -170,65 +178,117 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
                 good.append(similarity(shingler.bag(x), bag_b) >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    needed = pairs.select("a").union(pairs.select(F.col("b").alias("a")))
-    # at most NEED_BUCKETS rows, so this broadcast has a bound; a saturated one just thins out nothing
-    wanted = F.broadcast(needed.select(F.pmod("a", F.lit(NEED_BUCKETS)).alias("bucket")).distinct())
-    texts = docs.select(text_key(F.col("text")).alias("t"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = texts.join(wanted, F.pmod("t", F.lit(NEED_BUCKETS)) == F.col("bucket"), "left_semi").dropDuplicates(["t"])
+    texts = _texts(pairs.select(F.col("a").alias("t")).union(pairs.select(F.col("b").alias("t"))), docs)
     both = pairs.join(texts.select(F.col("t").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("t").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _leftover_pairs(members: DataFrame, threshold: float, block_rows: int = 512) -> DataFrame:
-    """Pairs of members (bucket, t, component, sketch) of one bucket and different components whose sketches agree enough.
-
-    A bucket is cut into blocks of bounded size and each pair of blocks is compared by one array operation; only
-    pairs that pass come out.
+def _blocks_of(batches: Iterator, work) -> Iterator:
+    """Rows come sorted by bucket, i and j; work gets the rows of one such block pair at a time and gives (a, b) arrays."""
+    import numpy as np
+    import pyarrow as pa
+
+    def out(parts: list):
+        a, b = (np.concatenate(c) for c in zip(*parts))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    held, at = [], None
+    for batch in batches:
+        parts = []
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            if held and at != row[:3]:
+                parts.append(work(held))
+                held = []
+            at = row[:3]
+            held.append(row)
+        if parts:
+            yield out(parts)
+    if held:
+        yield out([work(held)])
+
+
+def _leftover_links(members: DataFrame, docs: DataFrame, threshold: float, block_rows: int = 512) -> DataFrame:
+    """Links (a, b) that connect members (bucket, t, component, sketch) of one bucket and different components.
+
+    A bucket is cut into blocks of bounded size.  First sketches are compared, each pair of blocks by array operations,
+    and the members with a partner that may be similar enough stay; then their whole texts' multisets are compared, a pair
+    of blocks by one product, so the decision is exact.  Both give a row per member, never a row per pair.
     """
+    parts = max(members.sparkSession.sparkContext.defaultParallelism, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     counts = members.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(float(block_rows))).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64(F.lit(3), "t"), F.col("blocks")).cast("int")
     spread = members.join(counts, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "t", "component", "sketch")
+    dealt = lambda df: df.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "t")
 
-    def run(batches: Iterator) -> Iterator:
+    def apart(block: list, at: slice):
+        """Pairs (some rows, all rows) of different components that this pair of blocks is there to compare."""
         import numpy as np
-        import pyarrow as pa
 
-        def compare(group: list) -> tuple:
-            t, comp, own = (np.array([g[c] for g in group]) for c in (1, 2, 3))
-            sketch = np.frombuffer(b"".join(g[4] for g in group), dtype=np.uint8).reshape(len(group), -1)
-            enough = (threshold - ESTIMATE_SLACK) * REGISTERS
-            found_a, found_b = [], []
-            for at in range(0, len(t), 64):
-                agree = (sketch[at : at + 64, None, :] == sketch[None]).sum(2) >= enough
-                agree &= comp[at : at + 64, None] != comp[None]
-                agree &= t[at : at + 64, None] < t[None]
-                if group[0][0][1] != group[0][0][2]:
-                    agree &= own[at : at + 64, None] != own[None]
-                x, y = np.nonzero(agree)
-                found_a.append(t[at + x])
-                found_b.append(t[y])
-            return np.concatenate(found_a), np.concatenate(found_b)
-
-        group: list = []
-        for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            a, b = [], []
-            for bucket, i, j, own, t, comp, sketch in zip(*cols):
-                if group and group[0][0] != (bucket, i, j):
-                    for out, new in zip((a, b), compare(group)):
-                        out.append(new)
-                    group = []
-                group.append(((bucket, i, j), t, comp, own, sketch))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
-        if group:
-            a, b = compare(group)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    n = members.sparkSession.sparkContext.defaultParallelism
-    parts = max(n, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return spread.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long").distinct()
+        own, comp = np.array([r[3] for r in block]), np.array([r[5] for r in block])
+        pairs = comp[at, None] != comp[None]
+        if block[0][1] != block[0][2]:
+            pairs &= own[at, None] != own[None]
+        return pairs
+
+    def sketched(block: list):
+        import numpy as np
+
+        t, hit = np.array([r[4] for r in block]), np.zeros(len(block), dtype=bool)
+        sketch = np.frombuffer(b"".join(r[6] for r in block), dtype=np.uint8).reshape(len(block), -1)
+        for at in range(0, len(t), 64):
+            some = slice(at, at + 64)
+            agree = (sketch[some, None, :] == sketch[None]).sum(2) >= (threshold - ESTIMATE_SLACK) * REGISTERS
+            hit[some] = (agree & apart(block, some)).any(1)
+        return np.full(hit.sum(), block[0][0]), t[hit]
+
+    near = dealt(spread).mapInArrow(lambda batches: _blocks_of(batches, sketched), "a long, b long").distinct()
+    near = shared.materialize(near.select(F.col("a").alias("bucket"), F.col("b").alias("t")), "near")
+    # blocks anew, of what is left
+    texts = _texts(near.select("t"), docs)
+    left = members.select("bucket", "t", "component").join(near, ["bucket", "t"])
+    counts = left.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(float(block_rows))).cast("int").alias("blocks"))
+    spread = left.join(counts, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "t", "component").join(texts, "t")
+    spread = spread.select("bucket", "i", "j", "own", "t", "component", "text")
+
+    def linked(batches: Iterator) -> Iterator:
+        import numpy as np
+
+        shingler = Shingler()
+
+        def exact(block: list):
+            bags = [shingler.bag(r[6]) for r in block]
+            t, total = np.array([r[4] for r in block]), np.array([b[1].sum() for b in bags])
+            # a shingle met w times is w elements, so a common element counts once for each unit of the lesser weight
+            row = np.repeat(np.arange(len(bags)), total)
+            first = np.concatenate([np.repeat(b[0], b[1]) for b in bags])
+            unit = np.concatenate([np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w) for _, w in bags])
+            _, column, met = np.unique(_mix(first + unit.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), return_inverse=True, return_counts=True)
+            common = met[column] > 1
+            _, column = np.unique(column[common], return_inverse=True)
+            row, both = row[common], np.zeros((len(bags), len(bags)), dtype=np.float32)
+            order = np.argsort(column, kind="stable")
+            row, column = row[order], column[order]
+            for low in range(0, int(column.max(initial=-1)) + 1, 4096):
+                a, b = np.searchsorted(column, (low, low + 4096))
+                part = np.zeros((len(bags), 4096), dtype=np.float32)
+                part[row[a:b], column[a:b] - low] = 1
+                both += part @ part.T
+            link = (both >= threshold * (total[:, None] + total[None] - both)) & apart(block, slice(None))
+            low = np.arange(len(bags))  # rows are in ascending t
+            while True:
+                lower = np.minimum(low, np.where(link, low[None], len(bags)).min(1))
+                lower = lower[lower]
+                if (lower == low).all():
+                    break
+                low = lower
+            some = low != np.arange(len(bags))
+            return t[some], t[low[some]]
+
+        yield from _blocks_of(batches, exact)
+
+    return dealt(spread).mapInArrow(linked, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -241,7 +301,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     Signatures come from one narrow pass; equal texts are one node from there on.  In each bucket of each band every
     text is first compared with the bucket's least (a text's best such partner is verified), which joins most
     groups in time linear in their size; then members of one bucket that are still in different components are compared
-    with each other by sketches in bounded blocks, and the pairs that pass are verified.  So no link between texts that share a bucket is
+    with each other in bounded blocks, by sketches and then exactly.  So no link between texts that share a bucket is
     lost, no bucket's pairs are emitted, and a pair at the threshold shares a bucket with chance 0.9999.
     """
     signed = shared.materialize(sign(docs), "signed")
@@ -261,8 +321,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     labelled = members.select("bucket", "t").join(groups.withColumnRenamed("id", "t"), "t", "left").withColumn("component", F.coalesce("component", "t"))
     labelled = shared.materialize(labelled, "labelled")
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-    rest = _leftover_pairs(labelled.join(mixed, "bucket").join(sketches, "t"), threshold)
-    more = shared.materialize(_verified(shared.materialize(rest, "pairs"), docs, threshold), "verified")
+    rest = shared.materialize(labelled.join(mixed, "bucket").join(sketches, "t"), "mixed")
+    more = shared.materialize(_leftover_links(rest, docs, threshold), "verified")
     groups = shared.components(links.union(more))
     judged = unique.select("t", "least").join(groups.withColumnRenamed("id", "t"), "t", "left").withColumn("component", F.coalesce("component", "t"))
     classes = judged.groupBy("component").agg(F.min("least").alias("class_id"))
@@ -272,9 +332,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The rows of docs, one of each class: that with the smallest doc_id; of repeated rows one."""
-    kept = near_duplicates(docs, threshold).where("kept").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).distinct()
-    out = docs.withColumn("__key", text_key(F.col("text"))).join(kept, (F.col("__key") == F.col("__t")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
-    return out.dropDuplicates(["__key", "__id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = near_duplicates(docs, threshold).where("kept").select("doc_id", "t").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), text_key(F.col("text")).alias("__t"), F.col("doc_id").cast("long").alias("__id"))
+    out = rows.join(kept, (F.col("__t") == F.col("t")) & F.col("__id").eqNullSafe(F.col("doc_id"))).dropDuplicates(["__t", "__id"])
+    return out.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op6_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
