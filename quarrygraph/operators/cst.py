@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from ..functions.cfacts import COLUMNS, facts
 from ..functions.cparser import parse
 from ..sources.shipping import ship
+from .intervals import holding
+
+#: Width of a bin in joins of nodes with the subtrees around them.
+NODES_A_BIN = 256
 
 CST = "file string, pre int, last int, parent_pre int, depth int, child_ix int, type string, field_name string, start_byte int, end_byte int, start_row int, start_col int, end_row int, end_col int, text string"
 
@@ -36,23 +40,28 @@ def node_rows(file: str, content: bytes) -> Iterator[tuple]:
 def _per_file(files: DataFrame, schema: str, rows_of) -> DataFrame:
     ship(files.sparkSession)
 
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
     def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
         for batch in batches:
             out: list[tuple] = []
-            for file, content in zip(batch["file"], batch["content"]):
-                out.extend(rows_of(file, bytes(content or b"")))
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                out.extend(rows_of(file, content or b""))
                 if len(out) >= 20_000:
-                    yield pd.DataFrame(out, columns=names)
+                    yield batch_of(out)
                     out = []
             if out:
-                yield pd.DataFrame(out, columns=names)
-
-    from pyspark.sql.types import StructType
+                yield batch_of(out)
 
-    names = [f.name for f in StructType.fromDDL(schema)]
-    return files.select(F.col("file").cast("string"), F.col("content").cast("binary")).mapInPandas(run, schema)
+    return files.select(F.col("file").cast("string"), F.col("content").cast("binary")).mapInArrow(run, schema)
 
 
 def parse_files(files: DataFrame) -> DataFrame:
@@ -70,14 +79,14 @@ def file_facts(files: DataFrame, mode: str = "intended") -> DataFrame:
 def first_descendant(cst: DataFrame, of: DataFrame, *types: str) -> DataFrame:
     """For nodes (file, pre, last) the text of the first descendant-or-self of the types: rows file, pre, name."""
     d = cst.where(F.col("type").isin(*types)).select(F.col("file").alias("f"), F.col("pre").alias("p"), "text")
-    inside = of.join(d, (F.col("file") == F.col("f")) & F.col("p").between(F.col("pre"), F.col("last")))
+    inside = holding(d, of, F.col("file") == F.col("f"), F.col("p").between(F.col("pre"), F.col("last")), F.col("p"), F.col("pre"), F.col("last"), NODES_A_BIN)
     return inside.groupBy("file", "pre").agg(F.min_by("text", "p").alias("name"))
 
 
 def enclosing(cst: DataFrame, of: DataFrame, *types: str) -> DataFrame:
     """For nodes (file, pre) the pre of the innermost node of the types around them: rows file, pre, outer."""
     o = cst.where(F.col("type").isin(*types)).select(F.col("file").alias("f"), F.col("pre").alias("p"), F.col("last").alias("l"))
-    around = of.join(o, (F.col("file") == F.col("f")) & (F.col("p") < F.col("pre")) & (F.col("pre") <= F.col("l")))
+    around = holding(of, o, F.col("file") == F.col("f"), (F.col("p") < F.col("pre")) & (F.col("pre") <= F.col("l")), F.col("pre"), F.col("p"), F.col("l"), NODES_A_BIN)
     return around.groupBy("file", "pre").agg(F.max("p").alias("outer"))
 
 
@@ -90,7 +99,7 @@ def field_child(cst: DataFrame, of: DataFrame, field: str) -> DataFrame:
 def without_subtrees(cst: DataFrame, *types: str) -> DataFrame:
     """The tree without the nodes of the types and all below them."""
     cut = cst.where(F.col("type").isin(*types)).select(F.col("file").alias("f"), F.col("pre").alias("p"), F.col("last").alias("l"))
-    return cst.join(cut, (F.col("file") == F.col("f")) & F.col("pre").between(F.col("p"), F.col("l")), "left_anti")
+    return holding(cst, cut, F.col("file") == F.col("f"), F.col("pre").between(F.col("p"), F.col("l")), F.col("pre"), F.col("p"), F.col("l"), NODES_A_BIN, "left_anti")
 
 
 def token_class(cst: DataFrame) -> DataFrame:

@@ -7,7 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
 from .cst import file_facts
+from .intervals import holding
+
+#: Width of a bin in the join of macro uses with the sides around them.
+LINES_A_BIN = 64
 
 #: The order of entity kinds within a file, and of relation types in the output.
 KINDS = ("FILE", "FUNCTION", "STRUCT", "VARIABLE", "PARAM", "FIELD")
@@ -37,14 +42,22 @@ class Graph:
 def entities_of(facts: DataFrame, files: DataFrame) -> DataFrame:
     """Entities with dense ids by (file, kind, place): counts per file and kind, their running sum, and a number within.
 
-    Only the counts, one row per file and kind, meet in one window; the entities are numbered file by file.
+    Files' counts are dealt by ranges of file names; running sums are taken within a range and over the ranges' totals,
+    so only one row per range meets in one window.  The entities are numbered file by file.
     """
     own = facts.where(F.col("kind").isin(*KINDS)).select("file", "kind", "seq", "name", "scope", "role", "start_line", "end_line", "type_text")
     each = files.select("file").distinct().select("file", F.lit("FILE").alias("kind"), F.lit(0).cast("long").alias("seq"), F.col("file").alias("name"))
     every = own.unionByName(each, allowMissingColumns=True).withColumn("rank", kind_rank(F.col("kind")))
     counts = every.groupBy("file", "rank").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("file", "rank")) - F.col("n")
-    numbered = every.join(counts.select("file", "rank", before.alias("before")), ["file", "rank"])
+    ranges = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a file's range must be the same in both uses
+    dealt = kept(counts.groupBy("file").agg(F.sum("n").alias("n")).repartitionByRange(ranges, "file").withColumn("range", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("range").agg(F.sum("n").alias("n"))
+    totals = totals.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("earlier"))
+    place = F.sum("n").over(Window.partitionBy("range").orderBy("file")) - F.col("n")
+    starts = dealt.withColumn("place", place).join(totals, "range").select("file", (F.col("earlier") + F.col("place")).alias("start"))
+    before = F.col("start") + F.sum("n").over(Window.partitionBy("file").orderBy("rank")) - F.col("n")
+    numbered = every.join(counts.join(starts, "file").select("file", "rank", before.alias("before")), ["file", "rank"])
     gid = F.col("before") + F.row_number().over(Window.partitionBy("file", "rank").orderBy("seq"))
     type_ = F.when(F.col("kind") == "PARAM", "VARIABLE").otherwise(F.col("kind"))
     return numbered.select(gid.cast("string").alias("id"), "name", type_.alias("type"), "scope", "role", "start_line", "end_line", F.when(F.col("kind") != "FILE", F.col("file")).alias("source_file"), gid.cast("long").alias("gid"), "file", "kind", "seq", "type_text")
@@ -119,17 +132,18 @@ def _all(conditions: list) -> Column:
 def macro_in_side(sides: DataFrame, macros: DataFrame | None, callee_end: bool) -> DataFrame:
     """sides with ``expanded``: the text of the first macro entry that lies inside the side's range, in the same file.
 
-    A range join on the file with containment as its residual.  With ``callee_end`` a call's macro must also begin
+    A range join on the file and bins of lines, with containment as its residual.  With ``callee_end`` a call's macro must also begin
     before the end of the callee.
     """
     if macros is None:
         return sides.withColumn("expanded", F.lit(None).cast("string"))
     m = macros.select(F.col("file").alias("__file"), "ord", F.col("start").alias("__start"), F.col("end").alias("__end"), F.col("expanded").alias("__text"))
     at = lambda line, col: F.struct(F.col(line).alias("line"), F.col(col).alias("col"))
-    inside = (F.col("file") == F.col("__file")) & (at("side.start_line", "side.start_col") <= F.col("__start")) & (F.col("__end") <= at("side.end_line", "side.end_col"))
+    inside = (at("side.start_line", "side.start_col") <= F.col("__start")) & (F.col("__end") <= at("side.end_line", "side.end_col"))
     if callee_end:
         inside = inside & ((F.col("kind") != "CALL") | (F.col("__start") < at("callee.end_line", "callee.end_col")))
-    hits = sides.join(m, inside).groupBy("file", "kind", "seq", "s").agg(F.min_by("__text", "ord").alias("expanded"))
+    # a macro use begins on one line, a side spans few
+    hits = holding(m, sides, F.col("file") == F.col("__file"), inside, F.col("__start.line"), F.col("side.start_line"), F.col("side.end_line"), LINES_A_BIN).groupBy("file", "kind", "seq", "s").agg(F.min_by("__text", "ord").alias("expanded"))
     return sides.join(hits, ["file", "kind", "seq", "s"], "left").withColumn("expanded", F.when(F.col("expanded") != "", F.col("expanded")))
 
 
@@ -156,7 +170,7 @@ def relations_of(facts: DataFrame, entities: DataFrame, macros: DataFrame | None
         ids = lambda c: F.transform(c, lambda x: x.cast("string"))
         return df.select(ids(head).alias("head"), ids(tail).alias("tail"), F.lit(type_).alias("type"), F.lit(RELATIONS.index(type_)).alias("phase"), F.col("file"), (F.col("seq") if seq is None else seq).cast("long").alias("seq"))
 
-    sides = resolve_references(facts, symbols, macros).persist()
+    sides = kept(resolve_references(facts, symbols, macros), "sides")
     parts = [out(sides.where("kind = 'CALL' and owner is not null"), F.array("owner"), F.col("ids"), "CALLS")]
 
     both = sides.where("kind = 'ASSIGN'").groupBy("file", "seq").agg(F.max(F.when(F.col("s") == 0, F.col("ids"))).alias("l"), F.max(F.when(F.col("s") == 1, F.col("ids"))).alias("r"))
@@ -199,7 +213,10 @@ def relations_of(facts: DataFrame, entities: DataFrame, macros: DataFrame | None
 
 
 def extract(files: DataFrame, macros: DataFrame | None = None, mode: str = "intended") -> Graph:
-    """The graph of a corpus (file, content); macros as sources.macro_table() gives them."""
-    facts = file_facts(files, mode).persist()  # parsed once, read by every extractor
-    entities = entities_of(facts, files).persist()  # numbered once, read by every symbol table
-    return Graph(entities, relations_of(facts, entities, macros, mode).persist(), facts, mode)
+    """The graph of a corpus (file, content); macros as sources.macro_table() gives them.
+
+    Facts, entities and relations are written to the shared folder as they are found; scratch.clear() deletes them.
+    """
+    facts = kept(file_facts(files, mode), "facts")  # parsed once, read by every extractor
+    entities = kept(entities_of(facts, files), "entities")  # numbered once, read by every symbol table
+    return Graph(entities, kept(relations_of(facts, entities, macros, mode), "relations"), facts, mode)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
+
 #: Colours by type, and for types without one.
 NODE_COLORS = {"FILE": "#f7c59f", "FUNCTION": "#f6f930", "VARIABLE": "#84dcc6", "STRUCT": "#e07a5f", "FIELD": "#57a773", "TYPEDEF": "#6a4c93"}
 EDGE_COLORS = {"CONTAINS": "gray", "CALLS": "blue", "REFERENCES": "green", "HAS_MEMBER": "#ffb347", "HAS_PARAMETER": "#00bcd4", "HAS_VARIABLE": "#90caf9", "ASSIGNED_TO": "#ff1744", "RETURNS": "#9575cd", "TYPE_OF": "#00897b"}
@@ -44,28 +46,30 @@ def histogram(relations: DataFrame) -> DataFrame:
 def k_hop(edges: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
     """(source, node, hops): the least number of steps, up to ``depth``, from each of the sources (column source).
 
-    A frontier join per step keeps only pairs not reached before, so cycles end; every step's table is cut from its
-    lineage where a checkpoint folder is set.
+    A frontier join per step keeps only pairs not reached before, so cycles end; every step's pairs are a table of their
+    own, and no step follows one that reached nothing.
     """
-    e = edges.select(F.col("head").alias("at"), F.col("tail").alias("next")).distinct()
+    e = kept(edges.select(F.col("head").alias("at"), F.col("tail").alias("next")).distinct(), "steps")
     seen = sources.select("source", F.col("source").alias("node"), F.lit(0).alias("hops"))
     frontier = seen
     for step in range(1, depth + 1):
         reached = frontier.join(e, F.col("node") == F.col("at")).select("source", F.col("next").alias("node")).distinct()
         frontier = reached.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("hops", F.lit(step))
-        if edges.sparkSession.sparkContext.getCheckpointDir():
-            frontier = frontier.checkpoint()
+        frontier = kept(frontier, "hops")
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 
 
 def paths(edges: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
     """(source, path array) of all simple paths of 1 to ``depth`` steps from each of the sources."""
-    e = edges.select(F.col("head").alias("at"), F.col("tail").alias("next")).distinct()
+    e = kept(edges.select(F.col("head").alias("at"), F.col("tail").alias("next")).distinct(), "steps")
     now = sources.select("source", F.array("source").alias("path"))
     out = None
     for _ in range(depth):
         now = now.join(e, F.element_at("path", -1) == F.col("at")).where(~F.array_contains("path", F.col("next"))).select("source", F.concat("path", F.array("next")).alias("path"))
+        now = kept(now, "paths")  # each step is found once and read by the next one and the result
         out = now if out is None else out.unionByName(now)
     return out
 
@@ -78,9 +82,10 @@ def degree(edges: DataFrame) -> DataFrame:
 
 def dangling(edges: DataFrame, entities: DataFrame, id_col: str = "id") -> DataFrame:
     """Edges with an end that is no entity."""
-    ids = entities.select(F.col(id_col).alias("__id"))
-    good = edges.join(ids, F.col("head") == F.col("__id"), "left_semi").join(ids, F.col("tail") == F.col("__id"), "left_semi")
-    return edges.exceptAll(good)
+    ids = entities.select(F.col(id_col)).distinct()
+    known = lambda end: ids.select(F.col(id_col).alias(f"__{end}"))
+    ends = edges.join(known("head"), F.col("head") == F.col("__head"), "left").join(known("tail"), F.col("tail") == F.col("__tail"), "left")
+    return ends.where("__head is null or __tail is null").drop("__head", "__tail")
 
 
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph_queries as gq
 from ..operators import macro_expansion as mx
+from ..operators.intervals import holding
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -189,12 +190,21 @@ def kg_graph_except(t):
     return a.subtract(b)
 
 
-@query("""WITH o AS (SELECT user_id, event_id, ts AS s, ts + INTERVAL 6 HOUR AS e FROM events WHERE event_id % 5 = 0)
-SELECT o.event_id AS outer_id, count(*) AS n FROM o JOIN events i ON i.user_id = o.user_id AND i.ts >= o.s AND i.ts < o.e GROUP BY o.event_id""")
+def _spans(t, hours: int) -> DataFrame:
+    """Every event as a span of time of its user, from its own time on."""
+    ends = F.col("ts") + F.expr(f"INTERVAL {hours} HOUR")
+    return t("events").select(F.col("user_id").alias("u"), F.col("event_id").alias("outer_id"), F.col("ts").alias("s"), ends.alias("e"))
+
+
+def _in_spans(t, hours: int, inside) -> DataFrame:
+    """Events with the spans that hold them."""
+    seconds = lambda c: F.col(c).cast("timestamp").cast("long")
+    return holding(t("events").select("user_id", "event_id", "ts"), _spans(t, hours), F.col("u") == F.col("user_id"), inside, seconds("ts"), seconds("s"), seconds("e"), hours * 3600)
+
+
+@query("""SELECT o.event_id AS outer_id, count(*) AS n FROM events o JOIN events i ON i.user_id = o.user_id AND i.ts >= o.ts AND i.ts < o.ts + INTERVAL 6 HOUR GROUP BY o.event_id""")
 def kg_range_contain(t):
-    o = t("events").where("event_id % 5 = 0").select(F.col("user_id").alias("u"), F.col("event_id").alias("outer_id"), F.col("ts").alias("s"), (F.col("ts") + F.expr("INTERVAL 6 HOUR")).alias("e"))
-    j = o.join(t("events"), (F.col("u") == F.col("user_id")) & (F.col("ts") >= F.col("s")) & (F.col("ts") < F.col("e")))
-    return j.groupBy("outer_id").agg(F.count("*").alias("n"))
+    return _in_spans(t, 6, (F.col("ts") >= F.col("s")) & (F.col("ts") < F.col("e"))).groupBy("outer_id").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT event_id, last_value(CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS marker FROM events""")
@@ -205,12 +215,10 @@ def kg_carry_forward(t):
     return e.select("event_id", mark.over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)).alias("marker"))
 
 
-@query("""WITH o AS (SELECT user_id, event_id, ts AS s, ts + INTERVAL 12 HOUR AS e FROM events WHERE event_id % 3 = 0)
-SELECT i.event_id, max(o.event_id) AS outer_id FROM events i JOIN o ON i.user_id = o.user_id AND i.ts > o.s AND i.ts < o.e GROUP BY i.event_id""")
+@query("""SELECT i.event_id, arg_max(o.event_id, (o.ts, o.event_id)) AS outer_id FROM events i JOIN events o ON i.user_id = o.user_id AND i.ts > o.ts AND i.ts < o.ts + INTERVAL 12 HOUR GROUP BY i.event_id""")
 def kg_innermost_enclosing(t):
-    o = t("events").where("event_id % 3 = 0").select(F.col("user_id").alias("u"), F.col("event_id").alias("o"), F.col("ts").alias("s"), (F.col("ts") + F.expr("INTERVAL 12 HOUR")).alias("e"))
-    j = t("events").join(o, (F.col("u") == F.col("user_id")) & (F.col("ts") > F.col("s")) & (F.col("ts") < F.col("e")))
-    return j.groupBy("event_id").agg(F.max("o").alias("outer_id"))
+    inner = _in_spans(t, 12, (F.col("ts") > F.col("s")) & (F.col("ts") < F.col("e")))
+    return inner.groupBy("event_id").agg(F.max_by("outer_id", F.struct("s", "outer_id")).alias("outer_id"))
 
 
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")

@@ -11,7 +11,7 @@ from ..operators.graph_build import extract
 from . import synth
 
 P = """WITH n AS (SELECT count(*) AS n FROM part),
-p AS (SELECT p_partkey AS k, 'src/f' || (p_partkey % 50) || '.c' AS file, p_partkey // 50 AS i, (p_partkey * 7 + 1) % n AS a, (p_partkey * 3 + 2) % n AS b, (p_partkey * 11 + 3) % n AS c FROM part, n)
+p AS (SELECT p_partkey AS k, 'src/f' || (p_partkey // 50) || '.c' AS file, p_partkey % 50 AS i, (p_partkey * 7 + 1) % n AS a, (p_partkey * 3 + 2) % n AS b, (p_partkey * 11 + 3) % n AS c FROM part, n)
 """
 
 

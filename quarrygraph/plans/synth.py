@@ -1,6 +1,6 @@
 """C sources rendered from the part table, so that every extractor has input with results in closed form.
 
-File ``src/f<k % 50>.c`` holds a block of 16 lines for each part key k, in order of k: a struct with a function pointer,
+File ``src/f<k div 50>.c`` holds a block of 16 lines for each of its 50 part keys k, in order of k: a struct with a function pointer,
 a static counter, and a function with a parameter, a local, a direct call, assignments, at every tenth key a call
 through a macro, and a return.
 """
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph_build import Graph, extract
 
-FILES, LINES = 50, 16
+KEYS_A_FILE, LINES = 50, 16
 BLOCK = """struct part_{k} {
     int size_{k};
     int price_{k};
@@ -35,8 +35,8 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, file, i (place of the block in its file, from 0), and the targets a, b, c of calls."""
     keys = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"))
     n = F.lit(keys.count())
-    file = F.concat(F.lit("src/f"), F.col("k") % FILES, F.lit(".c"))
-    return keys.select("k", file.alias("file"), F.expr(f"k div {FILES}").alias("i"), ((F.col("k") * 7 + 1) % n).alias("a"), ((F.col("k") * 3 + 2) % n).alias("b"), ((F.col("k") * 11 + 3) % n).alias("c"))
+    file = F.concat(F.lit("src/f"), F.expr(f"k div {KEYS_A_FILE}"), F.lit(".c"))
+    return keys.select("k", file.alias("file"), (F.col("k") % KEYS_A_FILE).alias("i"), ((F.col("k") * 7 + 1) % n).alias("a"), ((F.col("k") * 3 + 2) % n).alias("b"), ((F.col("k") * 11 + 3) % n).alias("c"))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,9 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     use = F.when(F.col("k") % 10 == 0, F.concat(F.lit("TARGET_"), F.col("k"), F.lit("(p, q)"))).otherwise(F.lit("(void)q"))
     for mark, value in (("{k}", F.col("k").cast("string")), ("{a}", F.col("a").cast("string")), ("{b}", F.col("b").cast("string")), ("{use}", use)):
         text = F.replace(text, F.lit(mark), value)
-    blocks = parts(spark, sf_dir).select("file", "k", text.alias("text"))
+    # a number of our own, as parsing takes far longer than the bytes behind it let adaptive execution expect
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = parts(spark, sf_dir).select("file", "k", text.alias("text")).repartition(tasks, "file")
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "text"))), lambda b: b["text"]), "\n")
     return blocks.groupBy("file").agg(whole.alias("content")).select("file", F.encode("content", "UTF-8").alias("content"))
 

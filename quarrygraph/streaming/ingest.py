@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cfacts import COLUMNS
 from ..operators.cst import file_facts
+from ..sources import scratch
 
 FILES = "file string, content binary"
 
@@ -32,12 +33,7 @@ def upsert_facts(batch: DataFrame, path: str) -> None:
 
 def functions_of_stream(spark: SparkSession, files: DataFrame) -> DataFrame:
     """The functions of files fed through a stream until it is drained: file, name, start_line."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or ("file://" + tempfile.gettempdir() if spark.sparkContext.master.split("[")[0] == "local" else None)
-    if root is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    import uuid
-
-    at = f"{root.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    at = f"{scratch.folder(spark)}/ingest-{uuid.uuid4().hex}"
     files.select("file", "content").write.parquet(f"{at}/in")
     stream = fact_stream(spark.readStream.schema(FILES).parquet(f"{at}/in"))
     query = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
