@@ -492,11 +492,26 @@ class Parser:
             t = self.take()
             kids.append(Node("ms_call_modifier", t.start, t.end))
         first = self.declarator("plain")
+        types = self.attempt(lambda: self.parameter_types(first)) if self.peek().kind == "id" else None
         if self.on("{"):
             if not any(k.type == "function_declarator" for k in first.walk()):
                 raise Trouble("body")
-            return self.node("function_definition", start, [*kids, named("declarator", first), named("body", self.block())])
+            return self.node("function_definition", start, [*kids, named("declarator", first), types, named("body", self.block())])
         while True:
+            if self.on("__attribute__"):  # variables have none in this grammar
+                kids.append(named("declarator", first))
+                first = self.stray_attributes()
+                if not self.on("=", ",", ";"):
+                    raise Trouble("attribute")
+                kids.append(first)
+                if self.on("="):
+                    self.take()
+                    kids.append(self.initializer())
+                if not self.on(","):
+                    break
+                self.take()
+                first = self.declarator("plain")
+                continue
             if self.on("="):
                 self.take()
                 first = self.node("init_declarator", first.start, [named("declarator", first), named("value", self.initializer())])
@@ -508,6 +523,26 @@ class Parser:
         self.eat(";")
         return self.node("declaration", start, kids)
 
+    def stray_attributes(self) -> Node:
+        start = self.peek().start
+        while self.on("__attribute__"):
+            self.gnu_attribute()
+        return self.node("ERROR", start, [])
+
+    def parameter_types(self, head: Node) -> Node:
+        """The declarations between an old-style function's head and its body, which this grammar doesn't know: as many
+        as its bare parameters at most."""
+        start, heads = self.peek().start, [k for k in head.walk() if k.type == "parameter_list"][:1]
+        bare = [p for k in heads for p in k.kids if [x.type for x in p.kids] == ["type_identifier"]]
+        for _ in bare:
+            if self.on("{"):
+                break
+            if self.declaration().type != "declaration":
+                raise Trouble("parameter")
+        if not bare or not self.on("{"):
+            raise Trouble("parameter")
+        return self.node("ERROR", start, [])
+
     def initializer(self) -> Node:
         return self.initializer_list() if self.on("{") else self.expression()
 

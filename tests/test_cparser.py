@@ -40,6 +40,19 @@ def test_fields():
     assert s_expression(parse(b"p->x = 1;")) == "(translation_unit (expression_statement (assignment_expression left: (field_expression argument: (identifier) field: (field_identifier)) right: (number_literal))))"
 
 
+@pytest.mark.parametrize(
+    ("source", "expected"),
+    [
+        ("int f(a, b) int a; char *b; { return a; }", "(function_definition (primitive_type) (function_declarator (identifier) (parameter_list (parameter_declaration (type_identifier)) (parameter_declaration (type_identifier)))) (ERROR) (compound_statement (return_statement (identifier))))"),
+        ("int x __attribute__((unused)) = 1, y;", "(declaration (primitive_type) (identifier) (ERROR) (number_literal) (identifier))"),
+        ("static int y __attribute__((a)) __attribute__((b(1)));", "(declaration (storage_class_specifier) (primitive_type) (identifier) (ERROR))"),
+    ],
+)
+def test_errors_stay_inside_declarations(source, expected):
+    assert tree(source) == f"(translation_unit {expected})"
+    assert tree(f"{source}\nint z;") == f"(translation_unit {expected} (declaration (primitive_type) (identifier)))"
+
+
 def test_recovery_keeps_the_rest():
     got = tree("int a = = ; int b; void f() { ) } int c;")
     assert got.count("ERROR") >= 1
@@ -62,6 +75,14 @@ def test_deep_nesting_does_not_fail():
     assert parse(b"int x = " + b"(" * 3000 + b"1" + b")" * 3000 + b";").type == "translation_unit"
 
 
+def test_attribute_macros_after_heads_stay_linear():
+    one = "extern int f (int a, T) __THROW;\n"
+    began = time.time()
+    parse((one * 4000).encode())
+    assert time.time() - began < 5
+    assert tree("int f(T) X; int g(void) { }").endswith("(function_definition (primitive_type) (function_declarator (identifier) (parameter_list (parameter_declaration (primitive_type)))) (compound_statement)))")
+
+
 def test_linear_time():
     block = b"int f(int a) { int b = a; if (a) { b = f(b); } return b; }\n"
     began = time.process_time()
