@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from . import shared
 
@@ -129,7 +130,8 @@ def pack(pieces: DataFrame, seq_len: int = 2048, rows_per_partition: int = 100_0
     slack = seq_len // 256 if slack is None else slack
     pieces = pieces.drop("sequence_id", "offset", "given_up")
     pieces = shared.materialize(pieces, "pack")
-    schema = pieces.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
+    added = StructType([StructField("sequence_id", LongType()), StructField("offset", LongType()), StructField("given_up", BooleanType())])
+    schema = StructType(pieces.schema.fields + added.fields)
     histogram = pieces.groupBy("length").count()  # at most seq_len rows
     known = [(r["length"], r["count"]) for r in histogram.collect()]
     if any(not n or not 0 < n <= seq_len for n, _ in known):
@@ -140,30 +142,31 @@ def pack(pieces: DataFrame, seq_len: int = 2048, rows_per_partition: int = 100_0
     def run(number: int):
         def one(batches: Iterator) -> Iterator:
             import numpy as np
-            import pandas as pd
+            import pyarrow as pa
             from pyspark import TaskContext
 
+            # Arrow throughout, so that nulls beside large ids and columns of any type come back as they were
             part = TaskContext.get().partitionId()
-            frames = [b for b in batches if len(b)]
-            if not frames:
+            held = [b for b in batches if b.num_rows]
+            if not held:
                 return
-            pdf = pd.concat(frames, ignore_index=True)
-            pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
-            bins, offsets, fills = best_fit_decreasing(pdf["length"].to_numpy(), seq_len)
+            rows = pa.Table.from_batches(held)
+            rows = rows.take(rows.select(["length", "doc_id", "piece"]).append_column("at", pa.array(np.arange(len(rows)))).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("at", "ascending")])["at"])
+            lengths = rows["length"].to_numpy()
+            bins, offsets, fills = best_fit_decreasing(lengths, seq_len)
             gappy = seq_len - fills > slack
-            certified = len(fills) == lower_bound(*np.unique(pdf["length"].to_numpy(), return_counts=True), seq_len) and not gappy.any()
-            pdf["sequence_id"] = (np.int64(number) << 56) | (np.int64(part) << 32) | bins
-            pdf["offset"] = offsets
-            pdf["given_up"] = False if certified else gappy[bins]
-            for at in range(0, len(pdf), 20_000):
-                yield pdf.iloc[at : at + 20_000]
+            certified = len(fills) == lower_bound(*np.unique(lengths, return_counts=True), seq_len) and not gappy.any()
+            given_up = np.zeros(len(bins), dtype=bool) if certified else gappy[bins]
+            for name, values in (("sequence_id", (np.int64(number) << 56) | (np.int64(part) << 32) | bins), ("offset", offsets), ("given_up", given_up)):
+                rows = rows.append_column(name, pa.array(values))
+            yield from rows.to_batches(max_chunksize=20_000)
 
         return one
 
     done, rest, kept_bins, number, last = [], pieces, 0, 0, None
     while total:
         parts = -(-total // rows_per_partition)
-        out = shared.materialize(rest.repartition(parts).mapInPandas(run(number), f"{schema}, sequence_id long, offset long, given_up boolean"), "pack")
+        out = shared.materialize(rest.repartition(parts).mapInArrow(run(number), schema), "pack")
         # bins are counted once, at offset 0
         counts = {r["given_up"]: (r["bins"], r["rows"]) for r in out.groupBy("given_up").agg(F.sum((F.col("offset") == 0).cast("long")).alias("bins"), F.count("*").alias("rows")).collect()}
         kept, (open_bins, open_rows) = counts.get(False, (0, 0))[0], counts.get(True, (0, 0))

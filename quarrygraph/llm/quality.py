@@ -128,11 +128,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 3000) -> Network:
     """A network from at most ``sample_docs`` labelled documents that are not held out.
 
     The sample is the labels with the smallest hashes of their id, so it is bounded, even and the same every time.
-    Labels that are null or without a document are left out; a null text is empty.
+    Labels that are null or without a document are left out; a null text is empty; of several texts with one id the
+    least counts, of several labels the best.
     """
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id").limit(sample_docs)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return train([r["text"] for r in rows], [int(r["quality"]) for r in rows])
 

@@ -90,6 +90,14 @@ def test_pack(spark, docs, empty):
     assert packing.pack(packing.tokenize_pieces(empty, shared.tokenizer_path("byte_bpe_50k.json"))).rows.count() == 0
 
 
+def test_pack_keeps_other_columns_exactly(spark):
+    big = 2**60 + 1
+    rows = [(big, 0, 5, None, "a"), (None, 0, 7, big, "b"), (big + 2, 0, 2048, 3, None), (None, 0, 7, big, "b")]
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, length long, `my col` long, `a:b, c` string"))
+    assert packed.rows.columns[3:5] == ["my col", "a:b, c"]
+    assert Counter(tuple(r)[:5] for r in packed.rows.collect()) == Counter(rows)
+
+
 def optimal(lengths, capacity):
     best = [len(lengths)]
 
