@@ -86,7 +86,7 @@ class WordEncoder:
     go, as common words are met early.
     """
 
-    def __init__(self, path: str, drops_space: bool, max_words: int = 500_000):
+    def __init__(self, path: str, drops_space: bool, max_words: int = 750_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import re
 
