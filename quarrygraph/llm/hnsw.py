@@ -148,7 +148,7 @@ class Graph:
 def build_index(rows: DataFrame, id_col: str, vector: str, dim: int, shards: int, keep: int) -> DataFrame:
     """One row (shard, body) per shard of evenly dealt rows: graph arrays, original vectors, and ids of each distinct vector.
 
-    Equal vectors are one node with its ``keep`` smallest ids: a search can return no more of them.
+    Equal vectors are one node with its ``keep`` smallest distinct ids: a search can return no more of them.
     """
 
     def build(batches: Iterator) -> Iterator:
@@ -168,6 +168,9 @@ def build_index(rows: DataFrame, id_col: str, vector: str, dim: int, shards: int
         ids, x = ids[order], x[order]
         new = np.ones(len(x), dtype=bool)
         new[1:] = (x[1:] != x[:-1]).any(1)
+        once = new.copy()
+        once[1:] |= ids[1:] != ids[:-1]
+        ids, x, new = ids[once], x[once], new[once]
         group = np.cumsum(new) - 1
         rank = np.arange(len(x)) - np.flatnonzero(new)[group]
         few = rank < keep
@@ -186,12 +189,24 @@ def build_index(rows: DataFrame, id_col: str, vector: str, dim: int, shards: int
     return rows.select(F.col(id_col).cast("long"), vector).repartition(shards).mapInArrow(build, "shard int, body binary")
 
 
+def best_ids(ids, score, own: int, k: int):
+    """The k best distinct ids but ``own``, each with its best score, from the best down; of equal ones the smaller id first."""
+    import numpy as np
+
+    order = np.lexsort([ids, -score])
+    order = order[ids[order] != own]
+    first = np.sort(np.unique(ids[order], return_index=True)[1])[:k]
+    return ids[order[first]], score[order[first]]
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", shard_rows: int = 8192, block_rows: int = 2048, width: int = 128) -> DataFrame:
     """Each query's k nearest rows by inner product, its own id left out: query_id, rank, vec_id, score (double).
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do null ids and vectors of
-    another length than most; ties go to the smaller id; rows with the query's id are not candidates.  Shards hold a
-    bounded number of rows, queries come in bounded blocks, and each block meets each shard once.
+    another length than most; ties go to the smaller id; rows with the query's id are not candidates.  An id is one
+    neighbour with its best score, however many rows and vectors it has; where the rows a search finds in a shard are of
+    fewer than k ids though the shard has more, all of the shard's rows are compared.  Shards hold a bounded number of
+    rows, queries come in bounded blocks, and each block meets each shard once.
     """
     spark = rows.sparkSession
     shared.ship(spark)
@@ -202,7 +217,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shards = max(1, -(-n // shard_rows))
     index = shared.materialize(build_index(ready.where(F.size(vector) == dim), id_col, vector, dim, shards, k + 1), "hnsw")
-    asked = queries.where(vectors.usable(vector) & F.col(id_col).isNotNull() & (F.size(vector) == dim)).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
+    asked = queries.where(vectors.usable(vector) & F.col(id_col).isNotNull() & (F.size(vector) == dim)).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).distinct()
     blocks = max(1, -(-asked.count() // block_rows))
 
     def block(batches: Iterator) -> Iterator:
@@ -225,6 +240,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
                 graph = Graph.__new__(Graph)
                 graph.__dict__ = state
                 x = x.astype(np.float64)
+                known = set(ids.tolist())
                 for at in range(0, len(q), 512):
                     some = q[at : at + 512].astype(np.float64)
                     found = graph.search(some, max(width, k + 1))
@@ -232,15 +248,13 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
                     for i, nodes in enumerate(found):
                         nodes = nodes[nodes >= 0]
                         score = x[nodes] @ some[i]
-                        reps = starts[nodes + 1] - starts[nodes]
                         own = np.concatenate([ids[starts[r] : starts[r + 1]] for r in nodes]) if len(nodes) else ids[:0]
-                        score = np.repeat(score, reps)
-                        other = own != q_ids[at + i]
-                        own, score = own[other], score[other]
-                        best = np.lexsort([own, -score])[:k]
+                        best, score = best_ids(own, np.repeat(score, starts[nodes + 1] - starts[nodes]), q_ids[at + i], k)
+                        if len(best) < min(k, len(known) - (int(q_ids[at + i]) in known)):
+                            best, score = best_ids(ids, np.repeat(x @ some[i], np.diff(starts)), q_ids[at + i], k)
                         out[0].append(np.full(len(best), q_ids[at + i]))
-                        out[1].append(own[best])
-                        out[2].append(score[best])
+                        out[1].append(best)
+                        out[2].append(score)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
 
     asked_blocks = asked.repartition(blocks).mapInArrow(block, "block binary").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
@@ -248,8 +262,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     met = index.join(asked_blocks, "shard").select("body", "block").repartition(max(1, shards * blocks))
     found = met.mapInArrow(search, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    distinct = found.dropDuplicates(["query_id", "vec_id", "score"])
-    return distinct.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return merged.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,6 +173,36 @@ def test_hnsw(spark, vecs):
     assert hnsw.nearest(vecs.limit(0), vecs, k).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["every row twice", "one id with one vector", "one id with many vectors"])
+def test_hnsw_counts_ids_not_rows(spark, kind):
+    g, k = np.random.default_rng(4), 20
+    x = g.normal(size=(600, 8)).astype("f4")
+    rows = list(enumerate(x))
+    if kind == "every row twice":
+        rows += rows
+    else:  # a third of all rows, near every vector as they hold its greatest ones
+        x[0] *= 4
+        rows += [(7, x[0] if kind == "one id with one vector" else 6 * v) for v in g.normal(size=(300, 8)).astype("f4")]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<float>").repartition(3)
+    for shard_rows in (8192, 300):
+        got = defaultdict(list)
+        for r in hnsw.nearest(df, df.where("vec_id % 20 = 0 or vec_id = 7"), k, shard_rows=shard_rows, width=32).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append((r["vec_id"], r["score"]))
+        hit = total = 0
+        for q in {i for i, _ in rows if i % 20 == 0 or i == 7}:
+            best: dict = {}
+            for v in {v.tobytes(): v for i, v in rows if i == q}.values():
+                for i, w in rows:
+                    if i != q:
+                        best[i] = max(best.get(i, -math.inf), float(v.astype(float) @ w.astype(float)))
+            want = sorted(best, key=lambda i: (-best[i], i))[:k]
+            assert len({i for i, _ in got[q]}) == len(got[q]) == k
+            if q != 7:
+                assert all(abs(s - best[i]) < 1e-4 for i, s in got[q])
+            hit, total = hit + len(set(want) & {i for i, _ in got[q]}), total + k
+        assert hit / total >= 0.9
+
+
 def test_vector_dups(spark, vecs):
     got = Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vectordups.near_duplicates(vecs, cell_rows=100, block_rows=64).collect())
     rows = vector_rows()
