@@ -296,7 +296,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     Texts link when the weighted Jaccard of their multisets of five-word shingles is at least ``threshold``; classes are
     what links connect, equal texts included, and ``class_id`` is the smallest doc_id of the class (null only if all
-    are null); ``kept`` marks the rows with that id.  Null texts are empty, empty texts are equal.
+    are null); ``kept`` marks the rows with that id and one text of the class, the least hash t of those that occur with it,
+    so only rows repeated in id and text are kept together.  Null texts are empty, empty texts are equal.
 
     Signatures come from one narrow pass; equal texts are one node from there on.  In each bucket of each band every
     text is first compared with the bucket's least (a text's best such partner is verified), which joins most
@@ -325,13 +326,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     more = shared.materialize(_leftover_links(rest, docs, threshold), "verified")
     groups = shared.components(links.union(more))
     judged = unique.select("t", "least").join(groups.withColumnRenamed("id", "t"), "t", "left").withColumn("component", F.coalesce("component", "t"))
-    classes = judged.groupBy("component").agg(F.min("least").alias("class_id"))
-    named = judged.select("t", "component").join(classes, "component").select("t", "class_id")
-    return signed.select("doc_id", "t").join(named, "t").select("doc_id", "t", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    classes = judged.groupBy("component").agg(F.min("least").alias("class_id"), F.min(F.struct(F.col("least").isNull(), "least", "t"))["t"].alias("chosen"))
+    named = judged.select("t", "component").join(classes, "component").select("t", "class_id", (F.col("t") == F.col("chosen")).alias("chosen"))
+    return signed.select("doc_id", "t").join(named, "t").select("doc_id", "t", "class_id", (F.col("chosen") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of docs, one of each class: that with the smallest doc_id; of repeated rows one."""
+    """The rows of docs, one of each class: that with the smallest doc_id; of several texts with that id and of repeated rows one."""
     kept = near_duplicates(docs, threshold).where("kept").select("doc_id", "t").distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), text_key(F.col("text")).alias("__t"), F.col("doc_id").cast("long").alias("__id"))
     out = rows.join(kept, (F.col("__t") == F.col("t")) & F.col("__id").eqNullSafe(F.col("doc_id"))).dropDuplicates(["__t", "__id"])

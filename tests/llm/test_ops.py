@@ -376,6 +376,19 @@ def test_near_dups(spark, empty):
     assert bagminhash.near_duplicates(empty).count() == 0 and bagminhash.keep_one(empty).count() == 0
 
 
+def test_one_row_of_a_class_stays_when_ids_repeat(spark):
+    a, b = words(70, 200), words(71, 200)
+    rows = [(8, a, "en", "a"), (8, a + " x", "en", "a"), (8, a + " x", "en", "a"), (9, a + " y", "en", "a"), (None, b, "en", "a"), (None, b + " x", "en", "a"), (None, b + " y", "en", "a")]
+    docs = make_docs(spark, rows)
+    per = defaultdict(set)
+    for r in bagminhash.near_duplicates(docs).collect():
+        if r["kept"]:
+            per[r["class_id"]].add((r["doc_id"], r["t"]))
+    assert {c: len(v) for c, v in per.items()} == {8: 1, None: 1} and {d for v in per.values() for d, _ in v} == {8, None}
+    kept = [(r["doc_id"], r["text"]) for r in bagminhash.keep_one(docs).collect()]
+    assert len(kept) == 2 and {d for d, _ in kept} == {8, None} and {(d, t) for d, t, *_ in rows} >= set(kept)
+
+
 def test_signatures_estimate_weighted_jaccard():
     r = random.Random(5)
     s = bagminhash.Shingler(words=1)
