@@ -11,8 +11,8 @@ from . import shared
 def two_pass_shuffle(rows: DataFrame, n_shards: int, bucket_bytes: int = 8 << 20, seed: int = 17, weight=None) -> DataFrame:
     """The rows in uniformly random order, dealt into ``n_shards`` shards whose counts differ by one at most.
 
-    Pass one scatters every record to a bucket by a seeded hash of its place in the input and writes the scattered
-    table; pass two Fisher-Yates shuffles each bucket (Spark's shuffle() of the bucket's array, seeded) and numbers it.
+    The input is written once with a place for every record.  Pass one scatters records to buckets by a seeded hash of
+    the place, in Spark's shuffle; no bucket or shard is written, they are columns of the result.  Pass two Fisher-Yates shuffles each bucket (Spark's shuffle() of the bucket's array, seeded) and numbers it.
     Buckets follow one another, so a record's global place is its bucket's start plus its place there, and shards
     are equal stretches of places.  The hash takes the record's place, not its content, so repeated rows, null ids and
     hot keys spread like any others.  ``weight``: bytes of a row, by which buckets are sized to fit memory.
