@@ -16,15 +16,17 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, seq_len: int = 2048, end_i
     """Pieces of every document: doc_id, piece, start, length, ids (binary, little-endian unsigned 32-bit).
 
     A null or empty text is just ``end_id``; null and repeated doc_ids are kept as they are.  Documents of more than
-    ``seq_len`` ids are cut so that all pieces but the first are full.  Other columns of docs are ignored.
+    ``seq_len`` ids are cut so that all pieces but the first are full.  An empty table gives no pieces.  Other columns
+    of docs are ignored.  A control string of the vocabulary inside a text is its control id, as the library reads it.
     """
     shared.ship(docs.sparkSession)
+    odd = shared.odd_entries(vocabulary)
 
     def cut(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        enc, end = shared.encoder(vocabulary, drops_space=False), np.asarray([end_id], dtype="<u4").tobytes()
+        enc, end = shared.encoder(vocabulary, odd), np.asarray([end_id], dtype="<u4").tobytes()
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
         def flush(rows: list) -> pa.RecordBatch:
@@ -115,19 +117,21 @@ class Packed:
     bound: int
 
 
-def pack(pieces: DataFrame, seq_len: int = 2048, rows_per_partition: int = 100_000, slack: int | None = None, max_rounds: int = 6) -> Packed:
+def pack(pieces: DataFrame, seq_len: int = 2048, rows_per_partition: int = 100_000, slack: int = 0, max_rounds: int = 6) -> Packed:
     """Pack pieces (columns doc_id, piece, length and any more) into sequences of at most ``seq_len``.
 
     Round by round: the pieces are dealt evenly, each partition packs best-fit decreasing and takes the dual-feasible
-    lower bound of its own lengths.  A partition that meets its bound and has no bin with more than ``slack`` tokens of
-    space is certified and stays; the others give up their gappy bins, whose pieces are exchanged into fewer, new partitions and packed
-    again, until the total meets the bound of all lengths, nothing more is given up, or a round saves nothing.
-    Partitions hold a bounded number of rows, whatever the input.  Lengths must be 1 to ``seq_len``; an empty input
-    gives an empty result.  Columns named like an added one (sequence_id, offset, given_up) give way to it.
+    lower bound of its own lengths.  A partition that meets its bound is certified: it keeps its bins but for the emptiest,
+    which another partition's documents may fill.  The others give up all bins with more than ``slack`` tokens of space.
+    What is given up is exchanged into fewer, new partitions and packed again, until the total meets the bound of all
+    lengths, nothing more is given up, a round leaves as many open bins as the one before, or
+    ``max_rounds`` are over.  Partitions hold at most about ``rows_per_partition`` rows, whatever the input, so rows should
+    be slim (no token ids).  A single partition packs all it has, so there is nothing to exchange.  Lengths must be 1 to
+    ``seq_len``, else it's a ValueError; null and repeated ids are pieces like others; an empty input gives an empty
+    result.  Columns named like an added one (sequence_id, offset, given_up) give way to it.
     """
     spark = pieces.sparkSession
     shared.ship(spark)
-    slack = seq_len // 256 if slack is None else slack
     pieces = pieces.drop("sequence_id", "offset", "given_up")
     pieces = shared.materialize(pieces, "pack")
     added = StructType([StructField("sequence_id", LongType()), StructField("offset", LongType()), StructField("given_up", BooleanType())])
@@ -155,8 +159,10 @@ def pack(pieces: DataFrame, seq_len: int = 2048, rows_per_partition: int = 100_0
             lengths = rows["length"].to_numpy()
             bins, offsets, fills = best_fit_decreasing(lengths, seq_len)
             gappy = seq_len - fills > slack
-            certified = len(fills) == lower_bound(*np.unique(lengths, return_counts=True), seq_len) and not gappy.any()
-            given_up = np.zeros(len(bins), dtype=bool) if certified else gappy[bins]
+            certified = len(fills) == lower_bound(*np.unique(lengths, return_counts=True), seq_len)
+            if certified:
+                gappy &= np.arange(len(fills)) == fills.argmin()
+            given_up = gappy[bins]
             for name, values in (("sequence_id", (np.int64(number) << 56) | (np.int64(part) << 32) | bins), ("offset", offsets), ("given_up", given_up)):
                 rows = rows.append_column(name, pa.array(values))
             yield from rows.to_batches(max_chunksize=20_000)
@@ -188,7 +194,9 @@ def pack(pieces: DataFrame, seq_len: int = 2048, rows_per_partition: int = 100_0
 
 
 def op1_pack(spark, sf_dir: str) -> DataFrame:
-    """All documents in sequences of 2048 tokens of byte_bpe_50k, each document closed by id 0."""
+    """All documents in sequences of 2048 tokens of byte_bpe_50k, each document closed by id 0; every row also tells how
+    many sequences there are, and how many no packing can do without."""
     pieces = tokenize_pieces(shared.table(spark, sf_dir, "documents"), shared.tokenizer_path("byte_bpe_50k.json"))
-    pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack(pieces).rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    packed = pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    rows = packed.rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return rows.withColumns({"sequences": F.lit(packed.bins).cast("long"), "sequences_bound": F.lit(packed.bound).cast("long")})

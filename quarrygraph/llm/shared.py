@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import os
 import tempfile
 import uuid
@@ -71,117 +70,157 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-#: Fixed value: marks the first word of a text among remembered words.
-FIRST = "\udc00"
+#: Fixed value: what the pre-tokenizer of the byte-level vocabularies splits by.
+BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Fixed value: the suffix of a word's last symbol in the vocabularies with word ends.
+WORD_END = "</w>"
 
 
-class WordEncoder:
-    """Token ids of whole texts by the tokenizers library, remembering the ids of single words.
+class Vocabulary:
+    """A BPE vocabulary file of the tokenizers library as byte ranks, and what is needed to encode by ranks exactly.
 
-    A pre-token never spans the cut points used here, so the ids of a text are the ids of its parts, one after another:
-    for byte-level vocabularies a cut lies before a single space or line feed between two other characters, for vocabularies
-    that drop white space at every space and line feed.  Within a word, a run of Latin letters and the marks after it
-    are pre-tokens of their own; the letters go straight to the library's model.  Texts that don't fit the fast cut go
-    a slower, equal way.  The memory is per process and bounded by ``max_words``; when it is full the words met last
-    go, as common words are met early.
+    Encoding by ranks joins any two neighbours whose bytes are an entry, the library only pairs it lists.  ``odd`` holds
+    the entries whose own making, by ranks from single bytes, takes an unlisted pair or doesn't end in the entry.  All
+    joins inside a token of a result are those of the token's own making, so a result without odd tokens took listed pairs
+    only, in the library's order, and is the library's result; other texts go to the library.  In vocabularies with word
+    ends a zero byte closes each word; it joins with the byte before it first of all, as the suffix does.
+    ``ranks`` is None where the file isn't of a form this holds for; then the library encodes every text.
     """
 
-    def __init__(self, path: str, drops_space: bool, max_words: int = 750_000):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import re
-
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # control strings inside texts are ordinary text
-        self.drops_space, self.max_words = drops_space, max_words
-        self.seen: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        self.cut = re.compile(r"(?<=\S)(?= \S)")
-        letters = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-        self.plain = re.compile(f"([{letters}]+)([!#-&(-/:-@[-`{{-~]*)").fullmatch
-        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.spell = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(256)) if re.fullmatch(f"[{letters} ]", c)}
-
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def _core(self, word: str) -> bytes:
-        """Of letters alone, with the space before where the vocabulary has it."""
-        out = self.cores.get(word)
-        if out is None:
-            out = array("I", [t.id for t in self.tok.model.tokenize(word.translate(self.spell))]).tobytes()
-            self.cores[word] = out
+    def __init__(self, path: str):
+        import json
+
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model = spec["model"]
+        self.specials = [t["content"] for t in spec["added_tokens"]]
+        self.word_ends = model.get("end_of_word_suffix") == WORD_END
+        plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        bare = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        known = self.word_ends or (spec["pre_tokenizer"] == bare and spec["normalizer"] is None)
+        pairs = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        order = [model["vocab"].get("".join(p)) for p in pairs]
+        ascending = None not in order and all(a < b for a, b in zip(order, order[1:]))
+        self.ranks = self._ranks(model["vocab"]) if plain and known and ascending else None
+        self.merges = pairs
+
+    def _letters(self) -> dict[str, int]:
+        """The byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on."""
+        own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        return {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
+
+    def _bytes(self, token: str, letters: dict[str, int]) -> bytes:
+        if self.word_ends and token.endswith(WORD_END):
+            return bytes(letters[c] for c in token[: -len(WORD_END)]) + b"\0"
+        return bytes(letters[c] for c in token)
+
+    def _ranks(self, vocab: dict[str, int]) -> dict[bytes, int] | None:
+        letters = self._letters()
+        ranks = {self._bytes(t, letters): i for t, i in vocab.items() if t not in self.specials}
+        single = [ranks.get(bytes([b, *end])) for b in range(256) for end in ((b"", b"\0") if self.word_ends else (b"",))]
+        # what single bytes are, closed or not, comes before all that is joined
+        return None if None in single or sorted(single) != sorted(ranks.values())[: len(single)] else ranks
+
+    def odd(self) -> list[int]:
+        """Ids of the entries that are not made of listed pairs."""
+        if self.ranks is None:
+            return []
+        letters, ranks, out = self._letters(), self.ranks, []
+        listed = {(self._bytes(a, letters), self._bytes(b, letters)) for a, b in self.merges}
+        if self.word_ends:
+            listed |= {(bytes([b]), b"\0") for b in range(256)}
+        for entry, i in ranks.items():
+            parts, good = [entry[j : j + 1] for j in range(len(entry))], True
+            while len(parts) > 1:
+                best = min(range(len(parts) - 1), key=lambda j: ranks.get(parts[j] + parts[j + 1], 1 << 31))
+                if parts[best] + parts[best + 1] not in ranks:
+                    break
+                good &= (parts[best], parts[best + 1]) in listed
+                parts[best : best + 2] = [parts[best] + parts[best + 1]]
+            if len(parts) > 1 or not good:
+                out.append(i)
         return out
 
-    def _learn(self, keys: list[str]) -> dict[str, bytes]:
-        out, whole = {}, []
-        for k in keys:
-            bare = k[:1] in (FIRST, "\n")  # without a space before
-            w = k[1:] if bare else k
-            m = self.plain(w)
-            if m is None:
-                whole.append((k, k.lstrip(FIRST) if self.drops_space or bare else " " + w))
-                continue
-            core, marks = m.groups()
-            core = core.lower() if self.drops_space else core if bare else " " + core
-            out[k] = (self._marks("\n") if k[0] == "\n" else b"") + self._core(core) + (self._marks(marks) if marks else b"")
-        for at in range(0, len(whole), 5000):
-            some = whole[at : at + 5000]
-            out.update(zip((k for k, _ in some), self._ids([w for _, w in some])))
-        return out
 
-    def _marks(self, marks: str) -> bytes:
-        key = FIRST + FIRST + marks
-        if key not in self.cores:
-            self.cores[key] = self._ids([marks])[0]
-        return self.cores[key]
+class Encoder:
+    """Token ids of whole texts as the tokenizers library gives them, nothing remembered between texts.
+
+    Texts are encoded by byte ranks where that is provably the library's result (see Vocabulary), else by the library:
+    texts with a control string of the vocabulary, results with an odd token, and, for vocabularies with word ends, texts
+    with a zero byte or characters beyond the Latin ones whose lower case and classes are fixed.
+    """
+
+    def __init__(self, path: str, odd: list[int]):
+        import re
+
+        import numpy as np
+        import tiktoken
+
+        self.path, self.tok = path, None
+        v = Vocabulary(path)
+        self.specials, self.word_ends, self.ranks = v.specials, v.word_ends, v.ranks is not None
+        if not self.ranks:
+            return
+        pattern = r"[^\x00]+\x00" if v.word_ends else BYTE_PATTERN
+        self.core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=v.ranks, special_tokens={})._core_bpe
+        self.odd = np.zeros(max(v.ranks.values()) + 1, dtype=bool)
+        self.odd[odd] = True
+        if v.word_ends:
+            import unicodedata
+
+            kind = lambda c: unicodedata.category(chr(c))[0]
+            latin = [c for c in range(1, 0x250) if len(low := chr(c).lower()) == 1 and ord(low) < 0x250]
+            letters, digits = ("".join(re.escape(chr(c)) for c in latin if kind(c) == k) for k in "LN")
+            space = "\t-\r \x85\xa0"
+            self.foreign = re.compile("[^" + "".join(re.escape(chr(c)) for c in latin) + "]").search
+            self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{space}{letters}{digits}]+").findall
+
+    def _library(self, text: str) -> bytes:
+        if self.tok is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+
+            self.tok = Tokenizer.from_file(self.path)
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _one(self, text: str) -> bytes:
+        import numpy as np
+
+        if not text:
+            return b""
+        if not self.ranks or any(s in text for s in self.specials):
+            return self._library(text)
+        if self.word_ends:
+            if ("\0" in text) if text.isascii() else self.foreign(text):
+                return self._library(text)
+            text = "\0".join(self.words(text.lower())) + "\0"
+            if text == "\0":
+                return b""
+        raw = bytes(self.core.encode_to_tiktoken_buffer(text, set()))
+        return self._library(text) if self.odd[np.frombuffer(raw, dtype=np.uint32)].any() else raw
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
-        if self.drops_space:
-            words = [t.replace("\n", " ").split(" ") for t in texts]
-        else:  # later words stand for themselves with a space before; the first one is keyed by a lone surrogate, which no text holds
-            words = [t.replace("\n", " \n").split(" ") for t in texts]
-            for w in words:
-                w[0] = FIRST + w[0]
-        for held in (self.seen, self.cores):
-            if len(held) > self.max_words:
-                for k in list(itertools.islice(reversed(held), len(held) // 2)):
-                    del held[k]
-        seen, slow, fresh = self.seen, set(), {}
-        for i, w in enumerate(words):
-            lacking = set(w).difference(seen)
-            if not lacking:
-                continue
-            if not self.drops_space and any(not (y := x[x[:1] in (FIRST, "\n") :]) or y[-1].isspace() or y[0].isspace() for x in lacking):
-                slow.add(i)
-                continue
-            fresh.update(dict.fromkeys(lacking))
-        if fresh:
-            fresh = self._learn(list(fresh))
-            seen.update((k, v) for k, v in fresh.items() if len(k) <= 48)
-        out = []
-        for i, w in enumerate(words):
-            if i in slow:
-                out.append(b"".join(self._ids(self.cut.split(texts[i]))))
-                continue
-            try:
-                out.append(b"".join(map(seen.__getitem__, w)))
-            except KeyError:
-                out.append(b"".join([seen[x] if x in seen else fresh[x] for x in w]))
-        return out
+        return [self._one(t) for t in texts]
+
+
+_encoders: dict[str, Encoder] = {}
+_odd: dict[str, list[int]] = {}
 
 
-_encoders: dict[tuple, WordEncoder] = {}
+def odd_entries(path: str) -> list[int]:
+    """Vocabulary.odd(), worked out once by the driver and sent along with the tasks."""
+    if path not in _odd:
+        _odd[path] = Vocabulary(path).odd()
+    return _odd[path]
 
 
-def encoder(path: str, drops_space: bool) -> WordEncoder:
-    """This process's encoder for a vocabulary file."""
-    key = (path, drops_space)
-    if key not in _encoders:
-        _encoders[key] = WordEncoder(path, drops_space)
-    return _encoders[key]
+def encoder(path: str, odd: list[int]) -> Encoder:
+    """This process's encoder for a vocabulary file; its size doesn't depend on the texts."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path, odd)
+    return _encoders[path]
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -97,18 +97,21 @@ def _open(path: str, mode: str):
     return (at.open_output_stream(inside) if mode == "w" else at.open_input_file(inside)), at, inside
 
 
-def write_token_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, shard_docs: int = 8192) -> DataFrame:
+def write_token_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, shard_docs: int = 8192, shard_bytes: int = 8 << 20) -> DataFrame:
     """Encode every whole text, append ``end_id``, write shards in ascending doc_id order; returns the manifest.
 
     Manifest rows: shard int (in doc_id order), path, n_docs, n_tokens, first_token (tokens of all shards before).
     A null text is empty; null doc_ids come first; rows with one doc_id are ordered by text.  A shard is written under
     a name of its own attempt and moved into place, so a lost task leaves no half shard.  An empty table gives an
-    empty manifest.  Shards hold about ``shard_docs`` documents, so a task's share doesn't grow with the input.
+    empty manifest.  Shards hold about ``shard_docs`` documents or ``shard_bytes`` of text, whichever is less, so a task's share
+    doesn't grow with the input; a very long text is one document of its shard.
     """
     spark = docs.sparkSession
     shared.ship(spark)
     few = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    shards = max(spark.sparkContext.defaultParallelism, -(-few.count() // shard_docs))
+    odd = shared.odd_entries(vocabulary)
+    n, held = few.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    shards = max(spark.sparkContext.defaultParallelism, -(-n // shard_docs), -(-held // shard_bytes))
 
     def write(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -116,7 +119,7 @@ def write_token_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: in
         from array import array
         from pyspark import TaskContext
 
-        task, enc, end = TaskContext.get(), shared.encoder(vocabulary, drops_space=True), array("I", [end_id]).tobytes()
+        task, enc, end = TaskContext.get(), shared.encoder(vocabulary, odd), array("I", [end_id]).tobytes()
         writer, n_docs, n_tokens = None, 0, 0
         final = f"{folder}/shard-{task.partitionId():06d}.tok"
         for batch in batches:

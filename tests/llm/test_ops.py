@@ -47,19 +47,42 @@ def plain_ids(name: str, texts: list, **k) -> list:
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(shared.tokenizer_path(name))
-    tok.encode_special_tokens = True
     return [e.ids for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
 TRICKY = ["", " ", "a  b", " a b\n c", "\n\nx y", "a \tb", "x <|endoftext|> y", "a\x1cb c", "x  y", "é ́a b", "it's we'll DON'T", "a\nb", "\na b", "ab.\n", "x!?*** y,z 12 3a", "ünï Çé ßẞ İ ΑΣ ﬁ", "word" * 40, None]
 
 
-@pytest.mark.parametrize(("name", "drops"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
-def test_remembered_words_give_the_tokenizers_ids(name, drops):
+TRICKY += ["<|startoftext|>a", "a\0b", "a" * 5000, "ƪ Ʃ ẞ ß² ½x", "'S 's'S x'll", "\x85 a\xa0b", "中文 and more", "".join(map(chr, range(1, 0x250)))]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_gives_the_tokenizers_ids(name):
+    rng = random.Random(4)
     texts = [t or "" for t in TRICKY] + [words(i, 200).title() for i in range(30)]
-    enc = shared.WordEncoder(shared.tokenizer_path(name), drops, max_words=50)
-    for _ in range(2):
-        assert [np.frombuffer(b, dtype="<u4").tolist() for b in enc.encode(texts)] == plain_ids(name, texts)
+    for i in range(600):
+        texts.append("".join(chr(rng.randint(1, 0x24F if i % 3 else 0xD7FF)) for _ in range(rng.randint(1, 14))))
+    path = shared.tokenizer_path(name)
+    enc = shared.Encoder(path, shared.odd_entries(path))
+    assert enc.ranks
+    assert [np.frombuffer(b, dtype="<u4").tolist() for b in enc.encode(texts)] == plain_ids(name, texts)
+
+
+def test_encoder_leaves_odd_entries_to_the_library(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    letters = sorted(pre_tokenizers.ByteLevel.alphabet())
+    vocab = {c: i for i, c in enumerate(letters)}
+    merges = [("a", "b"), ("b", "c"), ("a", "bc"), ("Ġ", "x")]
+    vocab |= {x + y: 256 + i for i, (x, y) in enumerate(merges)}
+    tok = Tokenizer(models.BPE(vocab=vocab, merges=merges))
+    tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    tok.save(str(tmp_path / "v.json"))
+    odd = shared.Vocabulary(str(tmp_path / "v.json")).odd()
+    assert odd == [258]  # by ranks ab and c join, which isn't listed
+    enc = shared.Encoder(str(tmp_path / "v.json"), odd)
+    for text in ("abc", "xbc abc", "bcab x", "cab"):
+        assert np.frombuffer(enc.encode([text])[0], dtype="<u4").tolist() == tok.encode(text).ids
 
 
 def test_pack(spark, docs, empty):
