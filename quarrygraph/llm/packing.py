@@ -121,8 +121,8 @@ def pack(pieces: DataFrame, seq_len: int = 2048, rows_per_partition: int = 100_0
     """Pack pieces (columns doc_id, piece, length and any more) into sequences of at most ``seq_len``.
 
     Round by round: the pieces are dealt evenly, each partition packs best-fit decreasing and takes the dual-feasible
-    lower bound of its own lengths.  A partition that meets its bound is certified: it keeps its bins but for the emptiest,
-    which another partition's documents may fill.  The others give up all bins with more than ``slack`` tokens of space.
+    lower bound of its own lengths.  A partition that meets its bound is certified: it keeps its bins but for those with
+    over a sixteenth of space, which others' documents may fill.  The others give up all bins with more than ``slack`` of space.
     What is given up is exchanged into fewer, new partitions and packed again, until the total meets the bound of all
     lengths, nothing more is given up, a round leaves as many open bins as the one before, or
     ``max_rounds`` are over.  Partitions hold at most about ``rows_per_partition`` rows, whatever the input, so rows should
@@ -160,9 +160,7 @@ def pack(pieces: DataFrame, seq_len: int = 2048, rows_per_partition: int = 100_0
             bins, offsets, fills = best_fit_decreasing(lengths, seq_len)
             gappy = seq_len - fills > slack
             certified = len(fills) == lower_bound(*np.unique(lengths, return_counts=True), seq_len)
-            if certified:
-                gappy &= np.arange(len(fills)) == fills.argmin()
-            given_up = gappy[bins]
+            given_up = (seq_len - fills > seq_len // 16 if certified else gappy)[bins]
             for name, values in (("sequence_id", (np.int64(number) << 56) | (np.int64(part) << 32) | bins), ("offset", offsets), ("given_up", given_up)):
                 rows = rows.append_column(name, pa.array(values))
             yield from rows.to_batches(max_chunksize=20_000)
