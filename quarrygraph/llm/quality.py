@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-CHUNK, STRIDE, STEP, DEPTH, FILTERS, HIDDEN, PAD = 512, 448, 8, 8, 24, 16, 256
+CHUNK, WIDTH, DEPTH, FILTERS, HIDDEN, PAD = 512, 8, 4, 32, 16, 256
+#: Chunks overlap by a filter's width less one, so every window of a text lies in just one of them.
+STRIDE = CHUNK - WIDTH + 1
+#: Chunks that are convolved at a time, which bounds memory whatever the texts' lengths.
+BLOCK = 96
 
 
 def chunks(raw: bytes):
@@ -23,60 +27,84 @@ def chunks(raw: bytes):
 
 
 class Network:
-    """Bytes are embedded; filters of two steps' width run over each chunk step by step, are rectified and pooled by
-    maximum and mean; a hidden layer gives the chunk's log odds, whose mean is the document's."""
+    """Bytes are embedded; filters of WIDTH bytes meet every window of every chunk, and each filter's maximum over all
+    chunks of the document is rectified; a hidden layer makes them one log odds, so one probability a document."""
 
     def __init__(self, seed: int = 1):
         import numpy as np
 
         rng = np.random.default_rng(seed)
-        width = STEP * DEPTH
+        width = WIDTH * DEPTH
         draw = lambda *shape: rng.normal(0, 1, shape).astype(np.float32)
         self.p = {
-            "embed": draw(PAD + 1, DEPTH) * 0.5, "first": draw(width, FILTERS) / np.sqrt(2 * width), "second": draw(width, FILTERS) / np.sqrt(2 * width), "bias": np.zeros(FILTERS, np.float32),
-            "hidden": draw(2 * FILTERS, HIDDEN) / np.sqrt(2 * FILTERS), "hidden_bias": np.zeros(HIDDEN, np.float32), "out": draw(HIDDEN) / np.sqrt(HIDDEN), "out_bias": np.zeros(1, np.float32),
+            "embed": draw(PAD + 1, DEPTH) * 0.5, "filters": draw(width, FILTERS) / np.sqrt(width), "bias": np.zeros(FILTERS, np.float32),
+            "hidden": draw(FILTERS, HIDDEN) / np.sqrt(FILTERS), "hidden_bias": np.zeros(HIDDEN, np.float32), "out": draw(HIDDEN) / np.sqrt(HIDDEN), "out_bias": np.zeros(1, np.float32),
         }
         self.p["embed"][PAD] = 0
 
-    def forward(self, x, keep: bool = False):
-        """Log odds of each chunk; with keep also what backward() needs."""
+    def responses(self, x, starts, where: bool = False):
+        """Each filter's largest response in each document, (documents, FILTERS); with ``where`` also the chunk and the
+        window it comes from.  Chunks are convolved in blocks; of a block only the maxima stay."""
+        import numpy as np
+
+        top = np.full((len(starts), FILTERS), -np.inf, dtype=self.p["filters"].dtype)
+        chunk, place = np.zeros(top.shape, dtype=np.int64), np.zeros(top.shape, dtype=np.int64)
+        every = np.arange(FILTERS)
+        for low in range(0, len(x), BLOCK):
+            e = self.p["embed"][x[low : low + BLOCK]].reshape(-1, CHUNK * DEPTH)
+            windows = np.lib.stride_tricks.sliding_window_view(e, WIDTH * DEPTH, axis=1)[:, ::DEPTH]
+            h = (windows.reshape(-1, WIDTH * DEPTH) @ self.p["filters"]).reshape(len(e), -1, FILTERS)
+            m = h.max(1)
+            first, last = np.searchsorted(starts, [low, low + len(e) - 1], side="right") - 1
+            cuts = np.maximum(starts[first : last + 1], low) - low
+            here = np.maximum.reduceat(m, cuts)
+            if where:
+                winner = np.stack([a + m[a:b].argmax(0) for a, b in zip(cuts, [*cuts[1:], len(e)])])
+                window = h[winner, :, every].argmax(2)
+                better = here > top[first : last + 1]
+                chunk[first : last + 1][better], place[first : last + 1][better] = low + winner[better], window[better]
+            top[first : last + 1] = np.maximum(top[first : last + 1], here)
+        return top, chunk, place
+
+    def forward(self, x, starts, keep: bool = False):
+        """Log odds of each document; its chunks begin in x at ``starts``; with keep also what backward() needs."""
         import numpy as np
 
         p = self.p
-        e = p["embed"][x].reshape(len(x), CHUNK // STEP, STEP * DEPTH)
-        h = np.maximum((e @ p["first"])[:, :-1] + (e @ p["second"])[:, 1:] + p["bias"], 0)
-        pooled = np.concatenate([h.max(1), h.mean(1)], axis=1)
+        top, chunk, place = self.responses(x, starts, keep)
+        pooled = np.maximum(top + p["bias"], 0)
         hidden = np.maximum(pooled @ p["hidden"] + p["hidden_bias"], 0)
         odds = hidden @ p["out"] + p["out_bias"][0]
-        return (odds, (x, e, h, pooled, hidden)) if keep else odds
+        return (odds, (x, chunk, place, pooled, hidden)) if keep else odds
 
     def backward(self, held, d_odds) -> dict:
         import numpy as np
 
-        p, (x, e, h, pooled, hidden) = self.p, held
+        p, (x, chunk, place, pooled, hidden) = self.p, held
         g = {"out": hidden.T @ d_odds, "out_bias": d_odds.sum(keepdims=True)}
         d_hidden = d_odds[:, None] * p["out"] * (hidden > 0)
         g["hidden"], g["hidden_bias"] = pooled.T @ d_hidden, d_hidden.sum(0)
-        d_pooled = d_hidden @ p["hidden"].T
-        d_h = np.repeat(d_pooled[:, None, FILTERS:] / h.shape[1], h.shape[1], axis=1)
-        top = h.argmax(1)
-        n, f = np.ix_(np.arange(len(x)), np.arange(FILTERS))
-        d_h[n, top, f] += d_pooled[:, :FILTERS]
-        d_h *= h > 0
-        g["bias"] = d_h.sum((0, 1))
-        flat = d_h.reshape(-1, FILTERS)
-        g["first"], g["second"] = e[:, :-1].reshape(len(flat), -1).T @ flat, e[:, 1:].reshape(len(flat), -1).T @ flat
-        d_e = np.zeros_like(e)
-        d_e[:, :-1] += d_h @ p["first"].T
-        d_e[:, 1:] += d_h @ p["second"].T
-        d_e = d_e.reshape(-1, DEPTH)
-        g["embed"] = np.stack([np.bincount(x.ravel(), d_e[:, i], PAD + 1) for i in range(DEPTH)], axis=1).astype(np.float32)
+        d_top = (d_hidden @ p["hidden"].T) * (pooled > 0)
+        g["bias"] = d_top.sum(0)
+        # only the window that gave a filter's maximum counts
+        seen = x[chunk[..., None], place[..., None] + np.arange(WIDTH)]  # (documents, FILTERS, WIDTH) bytes
+        e = p["embed"][seen].reshape(*chunk.shape, WIDTH * DEPTH)
+        g["filters"] = np.einsum("df,dfk->kf", d_top, e)
+        d_e = (d_top[..., None] * p["filters"].T).reshape(-1, DEPTH)
+        g["embed"] = np.stack([np.bincount(seen.ravel(), d_e[:, i], PAD + 1) for i in range(DEPTH)], axis=1).astype(np.float32)
         g["embed"][PAD] = 0
         return g
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 48, crops: int = 4, rate: float = 4e-3, seed: int = 2) -> Network:
-    """Fit a network by Adam; an epoch sees up to ``crops`` chunks of each document, others the next time."""
+def _joined(rows: list):
+    """Chunks of several documents in one array, and where each document's begin."""
+    import numpy as np
+
+    return np.concatenate(rows), np.cumsum([0, *[len(r) for r in rows[:-1]]])
+
+
+def train(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 32, rate: float = 6e-3, seed: int = 2, least_steps: int = 500) -> Network:
+    """Fit a network by Adam; every epoch sees every chunk of every text; few texts get more epochs, to ``least_steps``."""
     import numpy as np
 
     net, rng = Network(), np.random.default_rng(seed)
@@ -86,18 +114,14 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 48,
         return net
     rows, y = [chunks(t.encode("utf-8")) for t in texts], np.asarray(labels, dtype=np.float32)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5
+    epochs = max(epochs, -(-least_steps // -(-len(rows) // batch)))
     m, v, step, total = {k: np.zeros_like(a) for k, a in net.p.items()}, {k: np.zeros_like(a) for k, a in net.p.items()}, 0, epochs * -(-len(rows) // batch)
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
             some = order[at : at + batch]
-            picked = [rows[i][rng.choice(len(rows[i]), crops, replace=False)] if len(rows[i]) > crops else rows[i] for i in some]
-            sizes = np.array([len(x) for x in picked])
-            doc = np.repeat(np.arange(len(some)), sizes)
-            odds, held = net.forward(np.concatenate(picked), keep=True)
-            mean = np.bincount(doc, odds, len(some)) / sizes
-            d = weight[some] * (1 / (1 + np.exp(-mean)) - y[some]) / len(some)
-            grads = net.backward(held, (d / sizes)[doc].astype(np.float32))
+            odds, held = net.forward(*_joined([rows[i] for i in some]), keep=True)
+            grads = net.backward(held, (weight[some] * (1 / (1 + np.exp(-odds)) - y[some]) / len(some)).astype(np.float32))
             step += 1
             now = rate * (1 - step / (total + 1))
             for k, g in grads.items():
@@ -111,12 +135,10 @@ def score_texts(net: Network, texts: list[str]) -> list[float]:
     """Probability of label 1 from all bytes of each text."""
     import numpy as np
 
-    rows = [chunks(t.encode("utf-8")) for t in texts]
-    sizes = np.array([len(x) for x in rows])
-    every = np.concatenate(rows)
-    odds = np.concatenate([net.forward(every[at : at + 128]) for at in range(0, len(every), 128)])
-    mean = np.bincount(np.repeat(np.arange(len(rows)), sizes), odds, len(rows)) / sizes
-    return (1 / (1 + np.exp(-np.clip(mean, -40, 40)))).tolist()
+    if not texts:
+        return []
+    odds = net.forward(*_joined([chunks(t.encode("utf-8")) for t in texts]))
+    return (1 / (1 + np.exp(-np.clip(odds.astype(np.float64), -40, 40)))).tolist()
 
 
 def held_out(doc_id):
@@ -124,22 +146,33 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 3000) -> Network:
-    """A network from at most ``sample_docs`` labelled documents that are not held out.
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 3000, sample_bytes: int = 32 << 20) -> Network:
+    """A network from whole texts of at most ``sample_docs`` labelled documents that are not held out.
 
-    The sample is the labels with the smallest hashes of their id, so it is bounded, even and the same every time.
+    The sample is the labels with the smallest hashes of their id, so it is bounded, even and the same every time; in that
+    order texts are taken while they hold at most ``sample_bytes`` together, and those that don't fit are left out.
     Labels that are null or without a document are left out; a null text is empty; of several texts with one id the
-    least counts, of several labels the best.
+    least counts, of several labels the best.  Without labels of two kinds (no rows, say) all texts get one score.
     """
-    chosen = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = chosen.orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id").limit(sample_docs)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality")).collect()
+    labelled = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    chosen = F.broadcast(labelled.select("doc_id", "quality", F.xxhash64(F.lit(9), "doc_id").alias("h")).orderBy("h", "doc_id").limit(sample_docs))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sizes = texts.join(chosen, "doc_id").groupBy("doc_id", "quality", "h").agg(F.min(F.struct("text"))["text"].alias("text")).select("doc_id", "quality", "h", F.octet_length("text").alias("bytes")).collect()
+    taken, left = {}, sample_bytes
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        if r["bytes"] <= left:
+            taken[r["doc_id"]], left = int(r["quality"]), left - r["bytes"]
+    if not taken:
+        return train([], [])
+    wanted = docs.sparkSession.createDataFrame([(d,) for d in taken], labelled.select("doc_id").schema)
+    rows = texts.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r["doc_id"])
-    return train([r["text"] for r in rows], [int(r["quality"]) for r in rows])
+    return train([r["text"] for r in rows], [taken[r["doc_id"]] for r in rows])
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
-    """docs with ``score``: narrow, whole texts, null texts as empty; other columns stay, but for one named ``score``, which gives way."""
+    """docs with ``score``: narrow, whole texts, null texts as empty; other columns stay, but for one named ``score``, which
+    gives way; equal texts get equal scores to within float rounding; an empty table stays empty."""
     shared.ship(docs.sparkSession)
     docs = docs.drop("score")
     net_p = net.p
@@ -152,9 +185,9 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
         for texts in batches:
             texts = texts.fillna("").tolist()
             out: list[float] = []
-            for at in range(0, len(texts), 64):
-                out += score_texts(own, texts[at : at + 64])
-            yield pd.Series(out)
+            for at in range(0, len(texts), 32):
+                out += score_texts(own, texts[at : at + 32])
+            yield pd.Series(out, dtype="float64")
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return docs.withColumn("score", F.pandas_udf(run, "double")(F.col("text")))

@@ -280,18 +280,61 @@ def test_quality(spark, docs, empty):
     assert got[0, : quality.CHUNK].astype(np.uint8).tobytes() == text[: quality.CHUNK] and (got != quality.PAD).sum() >= len(text)
 
 
+def slow_score(net, text):
+    """One filter and one byte of it at a time, over the whole text at once."""
+    raw = text.encode()
+    n = max(1, -(-(len(raw) - quality.CHUNK) // quality.STRIDE) + 1)
+    seen = list(raw) + [quality.PAD] * ((n - 1) * quality.STRIDE + quality.CHUNK - len(raw))
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    e, pooled = p["embed"][seen], []
+    for f in range(quality.FILTERS):
+        response = np.zeros(len(seen) - quality.WIDTH + 1)
+        for j in range(quality.WIDTH):
+            for d in range(quality.DEPTH):
+                response += e[j : j + len(response), d] * p["filters"][j * quality.DEPTH + d, f]
+        pooled.append(max(0.0, response.max() + p["bias"][f]))
+    hidden = [max(0.0, sum(pooled[f] * p["hidden"][f, h] for f in range(quality.FILTERS)) + p["hidden_bias"][h]) for h in range(quality.HIDDEN)]
+    odds = sum(x * w for x, w in zip(hidden, p["out"])) + p["out_bias"][0]
+    return 1 / (1 + math.exp(-odds))
+
+
+def test_scores_equal_a_slow_loop_over_filters():
+    net = quality.Network(seed=7)
+    net.p["bias"] += np.linspace(-0.5, 0.5, quality.FILTERS, dtype=np.float32)
+    edge = [quality.CHUNK + k * quality.STRIDE + d for k in (0, 1, 2, 200) for d in (-1, 0, 1)]
+    texts = ["", "x", "é", *[words(n, 40_000)[:n] for n in edge], words(5, 200_000)[:1_000_000], "same" * 9, "same" * 9]
+    got = quality.score_texts(net, texts)
+    assert max(abs(g - slow_score(net, t)) for g, t in zip(got, texts)) < 1e-5 and abs(got[-1] - got[-2]) < 1e-6
+    assert quality.score_texts(net, []) == []
+
+
+def test_quality_sample_is_bounded_in_rows_and_bytes(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda texts, labels, **k: seen.append((texts, labels)))
+    df = spark.createDataFrame([(i, "x" * (10 if i != 5 else 10_000)) for i in range(40)] + [(7, "a second text"), (7, "x" * 10), (None, "y")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(8, 1), (None, 1), (9, None)], "doc_id long, quality int")
+    quality.fit(df, labels, sample_docs=1000, sample_bytes=150)
+    quality.fit(df, labels, sample_docs=1000, sample_bytes=150)
+    quality.fit(df, labels, sample_docs=12)
+    quality.fit(df, labels)
+    learnt = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert seen[0] == seen[1] and len(seen[0][0]) == 15 and len(seen[2][0]) <= 12
+    assert len(seen[3][0]) == len(learnt) and sorted(map(len, seen[3][0])) == sorted(13 if i == 7 else 10_000 if i == 5 else 10 for i in learnt)
+    assert sum(seen[3][1]) == sum(i % 2 or i == 8 for i in learnt)
+
+
 def test_gradients():
     net = quality.Network()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    x = quality.chunks(words(3, 300).encode())[:3]
-    odds, held = net.forward(x, keep=True)
-    grads = net.backward(held, np.ones(len(x)))
-    for k, at in (("out", (3,)), ("hidden", (5, 2)), ("first", (7, 3)), ("second", (2, 1)), ("embed", (101, 4))):
+    x, starts = quality._joined([quality.chunks(words(i, 60 * i).encode()) for i in (1, 4, 2)])
+    odds, held = net.forward(x, starts, keep=True)
+    grads = net.backward(held, np.ones(3))
+    for k, at in (("out", (3,)), ("hidden", (5, 2)), ("filters", (7, 3)), ("filters", (2, 1)), ("embed", (101, 2)), ("bias", (4,)), ("hidden_bias", (1,))):
         before = net.p[k][at]
         sums = []
         for step in (1e-6, -1e-6):
             net.p[k][at] = before + step
-            sums.append(net.forward(x).sum())
+            sums.append(net.forward(x, starts).sum())
         net.p[k][at] = before
         assert abs((sums[0] - sums[1]) / 2e-6 - grads[k][at]) < 1e-3 * max(1, abs(grads[k][at]))
 
