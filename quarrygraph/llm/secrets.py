@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -14,88 +14,111 @@ HEX = r"[0-9a-f]{24,}"
 #: The added kind: long runs that mix digits, lower and upper case, when they belong to few owners.
 OPAQUE = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "opaque")
-SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
+#: A value's spans are spread over so many tasks when they learn its owners, as a copied example may be in a third of all rows.
+SALTS = 16
+#: Code points of a piece of text that redact() cuts spans from.
+PIECE = 4096
 
 
 def _matches(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
-    """All leftmost non-overlapping matches with code point offsets: the gaps between them and their own lengths add up.
+    """Struct (kind, matches) of all leftmost non-overlapping matches, or null: the gap before each, its length and its group.
 
-    A cheap test comes first, so texts without a match are read once.  A match of the assign kind is kept by the
-    length of its group 2; the others' lengths are part of their patterns, as their runs can't be entered later.
+    A cheap test comes first, so texts without a match are read once.  Offsets are sums of gaps and lengths, which are left
+    to a window over the matches, as an array that grows match by match would take the square of their number.
     """
     lit = F.lit(pattern)
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.char_length(g))
-    whole, values = F.regexp_extract_all(text, lit, F.lit(0)), F.regexp_extract_all(text, lit, F.lit(group))
-    pairs = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), values.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    whole = F.regexp_extract_all(text, lit, F.lit(0))
+    lengths = F.transform(whole, lambda w: F.char_length(w))
+    gaps = F.slice(F.transform(F.split(text, pattern, -1), lambda g: F.char_length(g)), F.lit(1), F.size(whole))
+    pairs = F.arrays_zip(gaps.alias("gap"), lengths.alias("length"), F.regexp_extract_all(text, lit, F.lit(group)).alias("value"))
+    return F.when(text.rlike(pattern), F.struct(F.lit(kind).alias("kind"), pairs.alias("matches")))
 
-    def add(acc: Column, m: Column) -> Column:
-        begin = acc["at"] + m["gap"]
-        end = begin + F.coalesce(F.char_length(m["whole"]), F.lit(0))
-        found = F.array(F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), m["value"].alias("value")))
-        return F.struct(end.alias("at"), F.when(m["whole"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], found.cast(SPAN))).alias("out"))
 
-    found = F.aggregate(pairs, start, add, lambda acc: acc["out"])
-    return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), found).otherwise(F.array().cast(SPAN))
+def _candidates(text: Column) -> Column:
+    """The matches of all kinds that occur in the text."""
+    kinds = [_matches(text, ASSIGN, 0, 2), _matches(text, ACCESS, 1), _matches(text, HEX, 2), _matches(text, OPAQUE, 3)]
+    return F.filter(F.array(*kinds), lambda k: k.isNotNull())
 
 
-def candidate_spans(text: Column) -> Column:
-    """array<struct<kind, start, end, value>> by start, then kind; base kinds and opaque candidates; null text: none."""
-    assign = F.filter(_matches(text, ASSIGN, 0, 2), lambda s: F.char_length(s["value"]) >= 6)
-    opaque = F.filter(_matches(text, OPAQUE, 3), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]"))
-    spans = F.concat(assign, _matches(text, ACCESS, 1), _matches(text, HEX, 2), opaque)
-    order = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
-    return F.transform(F.sort_array(order), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+def _spans(swept: DataFrame) -> DataFrame:
+    """Rows (__id, owner, repository, kind, start, end, value) of the candidates that hold; an assign match is kept by the
+    length of its group 2, an opaque one by its mix of characters; the others' lengths are part of their patterns, as
+    their runs can't be entered later."""
+    each = swept.where("__some").select("__id", "owner", "repository", F.explode("found").alias("f"))
+    each = each.select("__id", "owner", "repository", F.col("f.kind").alias("kind"), F.posexplode("f.matches").alias("i", "m"))
+    upto = F.sum(F.col("m.gap") + F.col("m.length")).over(Window.partitionBy("__id", "kind").orderBy("i")).cast("int")
+    each = each.select("__id", "owner", "repository", "kind", (upto - F.col("m.length")).alias("start"), upto.alias("end"), F.col("m.value").alias("value"))
+    mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[a-z]") & F.col("value").rlike("[A-Z]")
+    return each.where(((F.col("kind") != 0) | (F.char_length("value") >= 6)) & ((F.col("kind") != KINDS.index("opaque")) | mixed))
 
 
 def find_secrets(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, example_owners: int = 3) -> DataFrame:
-    """docs with ``secrets``: array<struct<kind, start, end, value, owners, repositories, live>>, by start, then kind.
+    """docs with ``secrets``: array<struct<kind, start, end, value, owners, repositories, live, covered>>, by start, then kind.
 
     ``owners`` and ``repositories`` count the distinct ones, over the whole corpus, in which a value occurs (compared
     by a 128-bit hash).  A value of ``example_owners`` owners or more is a widely copied example, others are live-looking;
     base spans (assign, access, hex) always stay, opaque ones only where live.  Owner is by default the source, a
-    repository a source's language part.  Null owners are one owner.  Repeated rows count once; null, empty and very
-    long texts are scanned whole; other columns stay, but for one named ``secrets``, which gives way.
+    repository a source's language part.  Null owners are one owner.  ``covered`` is how far the spans before reach.
+    Repeated rows each get their spans and add nothing to the counts; null, empty and very long texts are scanned whole; an
+    empty table stays empty; other columns stay, but for one named ``secrets``, which gives way.
 
-    Counts aggregate (value, owner) pairs before the exchange, so a value in a third of all rows is no load; documents
-    without a candidate skip the join back.
+    One sweep writes every row with its candidates to the shared folder, and rows without any pass by.  Counts aggregate
+    (value, owner) pairs before the exchange, and a value's spans are salted when they learn its counts, so a value in a
+    third of all rows is no load.
     """
     docs = docs.drop("secrets")
     owner = F.coalesce(F.col("source"), F.lit("")) if owner is None else owner
     repository = F.concat_ws("/", owner, F.coalesce(F.col("lang"), F.lit(""))) if repository is None else repository
-    text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.struct(F.xxhash64("doc_id", text, owner, repository).alias("a"), F.xxhash64(F.lit(1), text, "doc_id", owner, repository).alias("b"))
-    found = docs.select(F.col("doc_id"), key.alias("__key"), owner.alias("owner"), repository.alias("repository"), candidate_spans(text).alias("spans")).where(F.size("spans") > 0)
-    found = shared.materialize(found.dropDuplicates(["__key"]), "secrets")
-    each = found.select("__key", "owner", "repository", F.explode("spans").alias("s")).withColumn("value_hash", F.struct(F.xxhash64("s.value").alias("a"), F.xxhash64(F.lit(1), "s.value").alias("b")))
+    # whole rows travel as one column, so their names can't clash with ours
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    swept = docs.select(row.alias("__row"), owner.alias("owner"), repository.alias("repository"), _candidates(F.coalesce(F.col("text"), F.lit(""))).alias("found"), F.monotonically_increasing_id().alias("__id"))
+    swept = shared.materialize(swept.withColumn("__some", F.size("found") > 0), "sweep")
+    value_hash = F.struct(F.xxhash64("value").alias("a"), F.xxhash64(F.lit(1), "value").alias("b"))
+    each = shared.materialize(_spans(swept).withColumn("value_hash", value_hash), "spans")
     pairs = each.groupBy("value_hash", "owner", "repository").agg(F.lit(1).alias("one")).groupBy("value_hash", "owner").agg(F.count("*").alias("r"))
     counts = pairs.groupBy("value_hash").agg(F.count("*").alias("owners"), F.sum("r").alias("repositories"))
-    judged = each.join(counts, "value_hash").withColumn("live", F.col("owners") < example_owners)
-    judged = judged.where(F.col("live") | (F.col("s.kind") < KINDS.index("opaque")))
-    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("s.kind") + 1)
-    one = F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("k"), F.struct(kind.alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.value").alias("value"), "owners", "repositories", "live").alias("secret"))
-    spans = judged.groupBy("__key").agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["secret"]).alias("secrets"))
-    # whole rows travel as one column, so their names can't clash with ours
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), key.alias("__key"), (F.size(candidate_spans(text)) > 0).alias("__some"))
+    salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    judged = each.drop("owner", "repository").withColumn("salt", F.pmod(F.xxhash64("__id", "start"), F.lit(SALTS)).cast("int")).join(salted, ["value_hash", "salt"])
+    judged = judged.withColumn("live", F.col("owners") < example_owners).where(F.col("live") | (F.col("kind") < KINDS.index("opaque")))
+    before = Window.partitionBy("__id").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    judged = judged.withColumn("covered", F.coalesce(F.max("end").over(before), F.lit(0)))
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
+    secret = F.struct(kind.alias("kind"), "start", "end", "value", "owners", "repositories", "live", "covered")
+    one = F.struct(F.col("start"), F.col("kind").alias("k"), secret.alias("secret"))
+    spans = judged.groupBy("__id").agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["secret"]).alias("secrets"))
     none = F.array().cast(spans.schema["secrets"].dataType)
-    without = packed.where("not __some").select("__row", none.alias("secrets"))
-    within = packed.where("__some").join(spans, "__key", "left").select("__row", F.coalesce("secrets", none).alias("secrets"))
+    without = swept.where("not __some").select("__row", none.alias("secrets"))
+    within = swept.where("__some").select("__row", "__id").join(spans, "__id", "left").select("__row", F.coalesce("secrets", none).alias("secrets"))
     return within.unionByName(without).select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns], "secrets")
 
 
+def _cut(pieces: Column, begin: Column, end: Column) -> Column:
+    """The text from begin to end, of a text cut into pieces; the work follows the length of what is cut out."""
+    a, b = F.floor(begin / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+    first, last = F.coalesce(F.get(pieces, a), F.lit("")), F.coalesce(F.get(pieces, b), F.lit(""))
+    inside = F.substring(first, begin - a * PIECE + 1, end - begin)
+    across = F.concat(F.substring(first, begin - a * PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, a + 2, F.greatest(b - a - 1, F.lit(0))), ""), F.substring(last, F.lit(1), end - b * PIECE))
+    return F.when(begin >= end, "").when(a == b, inside).otherwise(across)
+
+
 def redact(found: DataFrame) -> DataFrame:
-    """Replace every secret of find_secrets() in ``text``: live-looking ones by <secret>, widely copied ones by <example-secret>."""
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        mark = F.when(s["live"], "<secret>").otherwise("<example-secret>")
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        # a span that begins inside the one before lengthens it
-        added = F.when(s["start"] < acc["at"], F.array().cast("array<string>")).otherwise(F.array(gap, mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], added).alias("out"))
-
-    new = F.aggregate("secrets", begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.lit(1 << 30))))
-    return found.withColumn("text", F.when(F.size("secrets") > 0, new).otherwise(F.col("text")))
+    """Replace every secret of find_secrets() in ``text``: live-looking ones by <secret>, widely copied ones by <example-secret>.
+
+    A span that begins inside those before lengthens them.  Texts without a secret, null ones too, stay as they are.
+    """
+
+    def new(pieces: Column) -> Column:
+        def step(s: Column) -> Column:
+            mark = F.when(s["live"], "<secret>").otherwise("<example-secret>")
+            return F.when(s["start"] < s["covered"], "").otherwise(F.concat(_cut(pieces, s["covered"], s["start"]), mark))
+
+        reached = F.array_max(F.transform("secrets", lambda s: s["end"]))
+        return F.concat(F.array_join(F.transform("secrets", step), ""), _cut(pieces, reached, F.char_length("text")))
+
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    # bound once by an outer lambda, else every span would cut the text anew
+    done = F.transform(F.array(pieces), new)[0]
+    return found.withColumn("text", F.when(F.size("secrets") > 0, done).otherwise(F.col("text")))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

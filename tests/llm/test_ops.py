@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -373,6 +374,31 @@ def test_secrets(spark, docs, empty):
     assert secrets.find_secrets(docs).count() == len(hostile())
 
 
+def test_secrets_with_very_many_matches(spark):
+    rng = random.Random(6)
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    gap = lambda: "".join(rng.choice("xyzéß🎉 \n") for _ in range(rng.choice([1, 1, 3, 9000 if rng.random() < 0.001 else 2])))
+    many = "".join(f" {key(24)} {gap()}" + (f"token={key(30)}{gap()}" if i % 7 == 0 else "") for i in range(16_000))
+    rows = [(1, many, "en", "a"), (1, many, "en", "a"), (2, many[:5000], "en", "b"), (3, "z" * 4096 + " secret=abcdefgh " + "z" * 4080 + " secret=abcdefgh", "en", "a")]
+    df = make_docs(spark, rows).repartition(2)
+    began = time.time()
+    found = shared.materialize(secrets.find_secrets(df), "many")
+    took = time.time() - began
+    out = {r["doc_id"]: (r["secrets"], r["text"]) for r in found.collect()}
+    for d, text, *_ in rows:
+        assert [f"{s['kind']}:{s['start']}:{s['end']}" for s in out[d][0] if s["kind"] != "opaque"] == base_spans(text)
+    assert {s["owners"] for s in out[2][0]} == {2} and {s["owners"] for s in out[3][0]} == {1}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(found).collect()}
+    for d, text, *_ in rows:
+        plain, at = [], 0
+        for s in sorted(out[d][0], key=lambda s: (s["start"], s["end"])):
+            if s["start"] >= at:
+                plain.append(text[at : s["start"]] + "<secret>")
+            at = max(at, s["end"])
+        assert clean[d] == "".join(plain) + text[at:]
+    assert took < 20
+
+
 # sharding
 
 
