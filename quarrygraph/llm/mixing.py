@@ -52,9 +52,10 @@ def mix(rows: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
     whose hash lies below the source's threshold.  The threshold comes from histograms: sizes are summed by source and
     the top bits of the hash, cumulative sums find the bucket in which the budget ends, and only the rows of that
     bucket are summed again by the next bits, until it holds one hash.  No rows are sorted, none are sampled.
-    The last hash is taken or left, whichever comes nearer; rows repeated so often that one hash holds many of them
-    are taken in part, by a hash of their place.  Null texts have size 0 and null sources are a source.  Columns of rows
-    named like an added one give way to it.
+    The last hash is taken or left, whichever comes nearer; of equal rows (one source, id and text) at the threshold as many
+    are taken as come nearest, so a source's words come within half a document of its target, however the rows are
+    dealt; which of several equal rows that is, is open.  Null texts have size 0, null sources are a source, and an
+    empty table stays empty.  Columns of rows named like an added one give way to it.
     """
     rows = rows.drop("size", "source_size", "target", "copies")
     key = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("source"))
@@ -90,11 +91,23 @@ def mix(rows: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
     bound = bound.groupBy("__source").agg(F.max("__h").alias("__edge"), F.sum("__size").alias("__edge_size"), F.sum("__n").alias("__edge_n"))
     ready = shared.materialize(plan.drop("__hashes").join(bound, "__source", "left"), "mix")
     out = hashed.join(near(ready), "__source")
-    part = F.col("__need") / F.col("__edge_size")
-    chance = F.when(F.col("__edge_n") <= 1, F.when(part > 0.5, 1.0).otherwise(0.0)).otherwise(part)
-    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    extra = F.when((F.col("__h") < F.col("__low")) & F.col("__h").isNotNull(), 1).when((F.col("__h") == F.col("__edge")) & (place < chance), 1).otherwise(0)
-    return out.select(*[F.col(f"__row.`{c}`").alias(c) for c in rows.columns], F.col("__size").alias("size"), "source_size", "target", F.least(F.col("__whole") + extra, F.lit(int(most))).cast("int").alias("copies"))
+    at_edge = F.coalesce(F.col("__h") == F.col("__edge"), F.lit(False))
+    tied = at_edge & (F.col("__edge_n") > 1)
+    # so many of the equal rows of the boundary hash come nearest to what is left
+    take = F.ceil(F.col("__need") * F.col("__edge_n") / F.col("__edge_size") - 0.5)
+    parts = [out.withColumn("__extra", F.when(F.col("__h") < F.col("__low"), 1).when(at_edge, take.cast("int")).otherwise(0))]
+    if ready.agg(F.max("__edge_n")).first()[0] not in (None, 1):
+        parts[0] = parts[0].where(~tied)
+        # equal rows are counted through, file by file of a table of their own, so no task sees them all
+        part = F.shiftright("__at", 33)
+        same = shared.materialize(out.where(tied).withColumn("take", take).withColumn("__at", F.monotonically_increasing_id()), "mix").withColumn("__part", part)
+        held = same.groupBy("__source", "__part").agg(F.count("*").alias("__held"))
+        held = held.withColumn("__before", F.sum("__held").over(Window.partitionBy("__source").orderBy("__part")) - F.col("__held")).drop("__held")
+        number = F.col("__before") + F.row_number().over(Window.partitionBy("__source", "__part").orderBy("__at"))
+        parts.append(same.join(held, ["__source", "__part"]).withColumn("__extra", (number <= F.col("take")).cast("int")))
+    copies = F.least(F.col("__whole") + F.col("__extra"), F.lit(int(most))).cast("int").alias("copies")
+    done = [x.select(*[F.col(f"__row.`{c}`").alias(c) for c in rows.columns], F.col("__size").alias("size"), "source_size", "target", copies) for x in parts]
+    return done[0] if len(done) == 1 else done[0].unionByName(done[1])
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -415,6 +415,36 @@ def test_sharding(spark, docs, empty):
     assert sorted(r["shard"] for r in sharding.two_pass_shuffle(docs.limit(3), 8).collect()) == [0, 1, 2]
 
 
+def test_sharding_against_plain_buckets(spark):
+    """Buckets by the hash worked out here; the same order whatever the shuffle partitions; order within buckets mixed."""
+    df = spark.range(0, 3000, 1, 3).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 90).alias("text"), F.lit(1).alias("shard"))
+    weight = F.octet_length("text") + 10
+    runs = []
+    for partitions in ("4", "9"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            runs.append({(r["shard"], r["slot"]): r["doc_id"] for r in sharding.two_pass_shuffle(df, 7, bucket_bytes=30_000, seed=3, weight=weight).collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert runs[0] == runs[1] and sorted(runs[0].values()) == list(range(3000))
+    order = [runs[0][k] for k in sorted(runs[0])]
+
+    def bucket(i):  # a row's place is its partition's number and its place there
+        import struct
+
+        import xxhash
+
+        salt = xxhash.xxh64_intdigest(struct.pack("<i", 3), 42)
+        h = xxhash.xxh64_intdigest(struct.pack("<q", (i // 1000 << 33) + i % 1000), salt)
+        return (h - (1 << 64) if h >> 63 else h) % 10
+
+    assert [bucket(i) for i in order] == sorted(bucket(i) for i in range(3000))
+    for b in range(10):
+        inside = [i for i in order if bucket(i) == b]
+        assert abs(np.corrcoef(inside, np.arange(len(inside)))[0, 1]) < 0.25
+
+
 # near duplicates
 
 
@@ -610,3 +640,18 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(empty).count() == 0
     nothing = make_docs(spark, [(1, None, "en", "a"), (2, "", "en", "b")])
     assert [r["copies"] for r in mixing.mix(nothing).collect()] == [0, 0]
+
+
+def test_mixing_takes_as_many_equal_rows_however_they_are_dealt(spark):
+    rows = [(5, "w " * 50, "en", "a")] * 400 + [(i, "v " * (1 + i % 9), "en", "b") for i in range(3000)] + [(None, "u " * 7, None, None)] * 9
+    totals = set()
+    for parts in (1, 3, 7):
+        out = mixing.mix(make_docs(spark, rows).repartition(parts)).collect()
+        assert len(out) == len(rows)
+        taken = Counter()
+        for r in out:
+            taken[r["source"]] += r["copies"] * r["size"]
+        target = {r["source"]: r["target"] for r in out}
+        assert abs(taken["a"] - target["a"]) <= 25 and abs(taken["b"] - target["b"]) <= 5 and abs(taken[None] - target[None]) <= 4
+        totals.add((taken["a"], taken["b"], taken[None]))
+    assert len(totals) == 1
