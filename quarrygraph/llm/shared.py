@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +44,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def few_records(spark: SparkSession, n: int) -> Iterator[None]:
+    """Tables written inside hand Python ``n`` rows at a time: for rows that are blocks of megabytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table behind a frame that materialize() returned and that nothing reads any more."""
     path = getattr(df, "_quarry_path", None)

@@ -250,6 +250,15 @@ def test_vector_dups(spark, vecs):
     assert vectordups.near_duplicates(vecs.limit(0)).count() == 0
 
 
+def test_vector_dups_with_repeated_ids_lengths_and_not_finite_vectors(spark):
+    e, f = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(7, e, 1), (7, f, 1), (8, e, 1), (9, f, 1), (9, f, 1), (9, e, 2), (3, f, 2), (4, [1.0, 0.0], 1), (5, [2.0, 0.0], 1), (6, [0.0, 1.0], 1), (10, [math.inf, 0.0, 0.0], 1), (11, [math.inf, 0.0, 0.0], 1), (12, [], 1)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, gid string")
+    got = Counter(tuple(r) for r in vectordups.near_duplicates(df, block_rows=1).collect())
+    want = [(7, 1, 7, True), (8, 1, 7, False), (7, 2, 7, True), (9, 2, 7, False), (9, 2, 7, False), (9, 0, 9, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (6, 0, 6, True), (10, 0, 10, True), (11, 0, 11, True), (12, 0, 12, True)]
+    assert got == Counter(want)
+
+
 def test_no_link_is_lost_between_cells(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(600, 3)).astype("f4")
