@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pickle
+import io
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,94 +11,122 @@ from pyspark.sql import functions as F
 from . import shared, vectors
 
 NEIGHBOURS, BUILD_WIDTH = 16, 64
+#: Rows of a graph that are inserted at a time.
+BATCH = 512
+#: Bytes of a piece of a shard's arrays, and vectors of a query block: the rows that tasks exchange.
+PIECE, QUERY_ROWS = 1 << 20, 1024
+#: Shards that any index has, so that its building and small query sets are spread over tasks.
+SHARDS = 6
 
 
 class Graph:
     """A graph over a matrix.  Inner products become distances by one more component that gives all rows one length.
 
-    ``layers[0]`` is an (n, 2 M) array of neighbour rows filled up with -1; ``layers[l]`` is (nodes, array) for the
-    nodes of level l.  Rows are inserted in doubling batches: a batch finds its nearest among all rows inserted so far
-    by blocked products, keeps a diverse choice of them, and the chosen rows link back and choose anew.
+    ``links[l]`` is an array of neighbour rows of the nodes of level l, filled up with -1, at most NEIGHBOURS of them, on
+    level 0 twice as many; ``slot[l]`` is a row's line there (on level 0 its own number).  Rows are inserted in batches that
+    grow with the graph up to BATCH rows: each descends through the levels built so far by greedy search, on its own levels
+    takes a diverse choice of the nearest that a beam search finds there and of the batch's own rows, and the chosen
+    rows link back and choose anew.  So a row costs a search, not products with all rows.
     """
 
     def __init__(self, rows, seed: int = 5):
         import numpy as np
 
         x = np.asarray(rows, dtype=np.float32)
+        n = len(x)
         square = (x.astype(np.float64) ** 2).sum(1)
         self.x = np.concatenate([x, np.sqrt(np.maximum(square.max(initial=0) - square, 0)).astype(np.float32)[:, None]], axis=1)
-        n = len(x)
-        u = np.random.default_rng(seed).random(n)
-        self.level = np.minimum((-np.log(np.maximum(u, 1e-12)) / np.log(NEIGHBOURS)).astype(np.int8), 6)
+        draw = np.random.default_rng(seed).random(n)
+        level = np.minimum((-np.log(np.maximum(draw, 1e-12)) / np.log(NEIGHBOURS)).astype(np.int8), 6)
         if n:
-            self.level[0] = self.level.max()
-        self.layers = []
-        for at in range(int(self.level.max(initial=0)) + 1):
-            nodes = np.flatnonzero(self.level >= at).astype(np.int32)
-            self.layers.append((nodes, self._layer(nodes, NEIGHBOURS * (2 if at == 0 else 1))))
-
-    def _choose(self, row: int, found, most: int):
-        """Of candidates in order of nearness those that are nearer to row than to any chosen before; then the nearest rest."""
+            level[0] = level.max()  # the entry point
+        self.links, self.slot = [], []
+        for at in range(int(level.max(initial=0)) + 1):
+            nodes = np.flatnonzero(level >= at)
+            slot = np.full(n, -1, dtype=np.int32)
+            slot[nodes] = np.arange(len(nodes))
+            self.slot.append(slot)
+            self.links.append(np.full((len(nodes), NEIGHBOURS * (1 if at else 2)), -1, dtype=np.int32))
+        done = min(n, 1)
+        while done < n:
+            batch = np.arange(done, min(n, done + min(BATCH, max(32, done // 4))))
+            self._insert(batch, level)
+            done += len(batch)
+
+    def _insert(self, batch, level) -> None:
         import numpy as np
 
-        if len(found) <= most:
-            return found
-        v = self.x[found]
-        to_row, between = v @ self.x[row], v @ v.T
-        left = np.ones(len(found), dtype=bool)
-        chosen = []
-        for i in range(len(found)):
-            if left[i]:
-                chosen.append(i)
-                if len(chosen) == most:
-                    break
-                left &= between[i] <= to_row
-                left[: i + 1] = False
-        if len(chosen) < most:
-            rest = np.ones(len(found), dtype=bool)
-            rest[chosen] = False
-            chosen += np.flatnonzero(rest)[: most - len(chosen)].tolist()
-        return found[chosen]
-
-    def _layer(self, nodes, most: int):
+        q = self.x[batch]
+        entry = np.zeros((len(batch), 1), dtype=np.int32)
+        for at in range(len(self.links) - 1, -1, -1):
+            on = level[batch] >= at
+            found = np.full((len(batch), BUILD_WIDTH if on.any() else 8), -1, dtype=np.int32)
+            if on.any():
+                found[on] = self._beam(q[on], entry[on], at, BUILD_WIDTH)
+            if not on.all():
+                found[~on, :8] = self._beam(q[~on], entry[~on], at, 8)
+            rows = batch[on]
+            if len(rows):
+                # of the batch's own rows the nearest, as the graph doesn't hold them yet
+                near = q[on] @ q[on].T
+                np.fill_diagonal(near, -np.inf)
+                most = min(NEIGHBOURS, len(rows) - 1)
+                top = np.argpartition(-near, most - 1, axis=1)[:, :most] if most else np.empty((len(rows), 0), dtype=np.int64)
+                self._link(at, rows, self._choose(rows, np.concatenate([found[on], rows[top].astype(np.int32)], axis=1), NEIGHBOURS))
+            entry = found[:, :8]
+
+    def _link(self, at: int, rows, chosen) -> None:
+        """Lines of new rows, and the lines of those they chose with the new rows added."""
         import numpy as np
 
-        links = np.full((len(nodes), most), -1, dtype=np.int32)
-        v, begin, n = self.x[nodes], 0, len(nodes)
-        while begin < n:
-            end = min(n, max(2 * begin, 64))
-            incoming: dict[int, list[int]] = {}
-            for at in range(begin, end, 512):
-                upto = min(at + 512, end)
-                near = v[at:upto] @ v[:end].T
-                near[np.arange(upto - at), np.arange(at, upto)] = -np.inf
-                width = min(BUILD_WIDTH, end - 1)
-                if width <= 0:
-                    continue
-                top = np.argpartition(-near, width - 1, axis=1)[:, :width]
-                order = np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable")
-                top = np.take_along_axis(top, order, 1)
-                for i, row in enumerate(range(at, upto)):
-                    chosen = self._choose_local(nodes, row, top[i], min(most, NEIGHBOURS))
-                    links[row, : len(chosen)] = chosen
-                    for e in chosen.tolist():
-                        incoming.setdefault(e, []).append(row)
-            for e, more in incoming.items():
-                own = links[e][links[e] >= 0]
-                both = np.unique(np.concatenate([own, np.asarray(more, dtype=np.int32)]))
-                if len(both) > most:
-                    both = both[np.argsort(-(v[both] @ v[e]), kind="stable")]
-                    both = self._choose_local(nodes, e, both, most)
-                links[e] = -1
-                links[e, : len(both)] = both
-            begin = end
-        return np.where(links >= 0, nodes[np.maximum(links, 0)], -1).astype(np.int32)
-
-    def _choose_local(self, nodes, row: int, found, most: int):
+        links, slot, most = self.links[at], self.slot[at], self.links[at].shape[1]
+        links[slot[rows], : chosen.shape[1]] = chosen
+        to, back = chosen.ravel(), np.repeat(rows, chosen.shape[1]).astype(np.int32)
+        to, back = to[to >= 0], back[to >= 0]
+        order = np.argsort(to, kind="stable")
+        to, back = to[order], back[order]
+        ends, first, count = np.unique(to, return_index=True, return_counts=True)
+        for low in range(0, len(ends), 2048):
+            e, c = ends[low : low + 2048], count[low : low + 2048]
+            added = np.full((len(e), c.max()), -1, dtype=np.int32)
+            line = np.repeat(np.arange(len(e)), c)
+            within = np.arange(len(line)) - np.repeat(np.cumsum(c) - c, c)
+            start = first[low]
+            added[line, within] = back[start : start + len(line)]
+            both = np.concatenate([links[slot[e]], added], axis=1)
+            full = (both >= 0).sum(1) > most
+            if full.any():
+                links[slot[e[full]]] = self._choose(e[full], both[full], most)
+            some = ~full
+            if some.any():
+                packed = np.take_along_axis(both[some], np.argsort(both[some] < 0, axis=1, kind="stable"), 1)
+                links[slot[e[some]]] = packed[:, :most]
+
+    def _choose(self, rows, found, most: int):
+        """For each row, of its candidates (-1: none) in order of nearness, those that are nearer to the row than to any chosen
+        before, then the nearest rest: an array of at most ``most`` columns filled up with -1."""
         import numpy as np
 
-        chosen = self._choose(nodes[row], nodes[found], most)
-        return np.searchsorted(nodes, chosen).astype(np.int32)
+        out = np.full((len(rows), min(most, found.shape[1])), -1, dtype=np.int32)
+        for low in range(0, len(rows), 256):
+            r, f = rows[low : low + 256], np.sort(found[low : low + 256], axis=1)
+            f[:, 1:][f[:, 1:] == f[:, :-1]] = -1  # rows found twice
+            f[f == r[:, None]] = -1
+            v = self.x[np.maximum(f, 0)]
+            near = np.where(f >= 0, np.einsum("rcd,rd->rc", v, self.x[r]), -np.inf)
+            order = np.argsort(-near, axis=1, kind="stable")
+            f, near, v = np.take_along_axis(f, order, 1), np.take_along_axis(near, order, 1), np.take_along_axis(v, order[..., None], 1)
+            between = v @ v.transpose(0, 2, 1)
+            left, chosen, count = f >= 0, np.zeros(f.shape, dtype=bool), np.zeros(len(r), dtype=np.int64)
+            for i in range(f.shape[1]):
+                take = left[:, i] & (count < most)
+                chosen[:, i] = take
+                count += take
+                left &= ~(take[:, None] & (between[:, i] > near))
+            rank = np.where(chosen, 0, np.where(f >= 0, 1, 2))
+            f = np.take_along_axis(f, np.argsort(rank, axis=1, kind="stable"), 1)
+            out[low : low + 256] = f[:, : out.shape[1]]
+        return out
 
     def search(self, queries, width: int):
         """For each query the rows found (-1 fills up), for a block of queries at a time."""
@@ -106,26 +134,25 @@ class Graph:
 
         q = np.concatenate([np.asarray(queries, dtype=np.float32), np.zeros((len(queries), 1), dtype=np.float32)], axis=1)
         at = np.zeros((len(q), 1), dtype=np.int32)
-        for nodes, links in reversed(self.layers[1:]):
-            at = self._beam(q, at, nodes, links, 8)
-        return self._beam(q, at, *self.layers[0], width)
+        for level in range(len(self.links) - 1, 0, -1):
+            at = self._beam(q, at, level, 8)
+        return self._beam(q, at, 0, width)
 
-    def _beam(self, q, entry, nodes, links, width: int):
+    def _beam(self, q, entry, level: int, width: int):
+        """The ``width`` best rows of a level met from the entry rows on, best first; -1 fills up."""
         import numpy as np
 
-        n_q, n = len(q), len(self.x)
-        full = len(nodes) == n
-        visited = np.zeros((n_q, n), dtype=bool)
-        rows = np.arange(n_q)
-        ids = np.full((n_q, width), -1, dtype=np.int32)
+        links, slot = self.links[level], self.slot[level]
+        n_q, rows = len(q), np.arange(len(q))
+        visited = np.zeros((n_q, len(links)), dtype=bool)
+        ids, done = np.full((n_q, width), -1, dtype=np.int32), np.ones((n_q, width), dtype=bool)
         score = np.full((n_q, width), -np.inf, dtype=np.float32)
-        done = np.ones((n_q, width), dtype=bool)
         k = min(entry.shape[1], width)
         ids[:, :k] = entry[:, :k]
         score[:, :k] = np.where(ids[:, :k] >= 0, np.einsum("qkd,qd->qk", self.x[np.maximum(ids[:, :k], 0)], q), -np.inf)
         done[:, :k] = ids[:, :k] < 0
         for j in range(k):
-            visited[rows, np.maximum(ids[:, j], 0)] |= ids[:, j] >= 0
+            visited[rows, slot[np.maximum(ids[:, j], 0)]] |= ids[:, j] >= 0
         while True:
             pending = np.where(done, -np.inf, score)
             pick = pending.argmax(1)
@@ -133,37 +160,41 @@ class Graph:
             if not len(live):
                 return np.take_along_axis(ids, np.argsort(-score, axis=1, kind="stable"), 1)
             done[live, pick[live]] = True
-            here = ids[live, pick[live]]
-            near = links[here if full else np.searchsorted(nodes, here)]
+            near = links[slot[ids[live, pick[live]]]]
             safe = np.maximum(near, 0)
-            fresh = (near >= 0) & ~visited[live[:, None], safe]
-            visited[live[:, None], safe] |= near >= 0
-            s = np.where(fresh, np.einsum("qkd,qd->qk", self.x[safe], q[live]), -np.inf).astype(np.float32)
+            spot = slot[safe]
+            fresh = (near >= 0) & ~visited[live[:, None], spot]
+            # only rows not met before are compared
+            line, column = np.nonzero(fresh)
+            visited[live[line], spot[line, column]] = True
+            s = np.full(near.shape, -np.inf, dtype=np.float32)
+            s[line, column] = np.einsum("nd,nd->n", self.x[near[line, column]], q[live[line]])
             all_ids, all_s = np.concatenate([ids[live], near], 1), np.concatenate([score[live], s], 1)
             all_done = np.concatenate([done[live], ~fresh], 1)
             top = np.argpartition(-all_s, width - 1, axis=1)[:, :width]
             ids[live], score[live], done[live] = (np.take_along_axis(z, top, 1) for z in (all_ids, all_s, all_done))
 
+    def arrays(self) -> dict:
+        return {"x": self.x} | {f"links{i}": a for i, a in enumerate(self.links)} | {f"slot{i}": a for i, a in enumerate(self.slot)}
 
-def build_index(rows: DataFrame, id_col: str, vector: str, dim: int, shards: int, keep: int) -> DataFrame:
-    """One row (shard, body) per shard of evenly dealt rows: graph arrays, original vectors, and ids of each distinct vector.
+    @classmethod
+    def of(cls, arrays) -> Graph:
+        graph = cls.__new__(cls)
+        graph.x = arrays["x"]
+        levels = sum(k.startswith("links") for k in arrays)
+        graph.links, graph.slot = [arrays[f"links{i}"] for i in range(levels)], [arrays[f"slot{i}"] for i in range(levels)]
+        return graph
+
+
+class Shard:
+    """A graph over the distinct vectors of a shard, the vectors as they were, and the ids that have each.
 
     Equal vectors are one node with its ``keep`` smallest distinct ids: a search can return no more of them.
     """
 
-    def build(batches: Iterator) -> Iterator:
+    def __init__(self, ids, x, keep: int):
         import numpy as np
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        ids, mats = [], []
-        for b in batches:
-            if len(b):
-                ids.append(b.column(0).to_numpy(zero_copy_only=False))
-                mats.append(vectors.matrix(b.column(1), dim))
-        if not ids:
-            return
-        ids, x = np.concatenate(ids), np.concatenate(mats)
+
         order = np.lexsort([ids, *(x.T[::-1])])
         ids, x = ids[order], x[order]
         new = np.ones(len(x), dtype=bool)
@@ -181,12 +212,65 @@ def build_index(rows: DataFrame, id_col: str, vector: str, dim: int, shards: int
         where[mix] = np.arange(len(x))
         x, group = x[mix], where[group]
         order = np.lexsort([ids, group])
-        ids, group = ids[order], group[order]
-        graph = Graph(x)
-        body = pickle.dumps((graph.__dict__, x, ids, np.searchsorted(group, np.arange(len(x) + 1))), protocol=5)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([body], pa.binary())], names=["shard", "body"])
+        self.x, self.ids, self.starts = x, ids[order], np.searchsorted(group[order], np.arange(len(x) + 1))
+        self.graph = Graph(x)
+
+    def dump(self) -> bytes:
+        import numpy as np
+
+        out = io.BytesIO()
+        np.savez(out, vectors=self.x, ids=self.ids, starts=self.starts, **{f"graph_{k}": v for k, v in self.graph.arrays().items()})
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, body: bytes) -> Shard:
+        import numpy as np
+
+        arrays = dict(np.load(io.BytesIO(body)))
+        shard = cls.__new__(cls)
+        shard.x, shard.ids, shard.starts = arrays["vectors"], arrays["ids"], arrays["starts"]
+        shard.graph = Graph.of({k.removeprefix("graph_"): v for k, v in arrays.items() if k.startswith("graph_")})
+        shard.known = set(shard.ids.tolist())
+        return shard
+
+    def nearest(self, q_ids, q, k: int, width: int):
+        """(query ids, ids, scores) of each query's k best distinct ids but its own, scores in double precision."""
+        import numpy as np
 
-    return rows.select(F.col(id_col).cast("long"), vector).repartition(shards).mapInArrow(build, "shard int, body binary")
+        out: tuple[list, list, list] = ([], [], [])
+        for at in range(0, len(q), 512):
+            some = q[at : at + 512].astype(np.float64)
+            for i, nodes in enumerate(self.graph.search(some, max(width, k + 1))):
+                query, nodes = int(q_ids[at + i]), nodes[nodes >= 0]
+                score = self.x[nodes].astype(np.float64) @ some[i]
+                own = np.concatenate([self.ids[self.starts[r] : self.starts[r + 1]] for r in nodes]) if len(nodes) else self.ids[:0]
+                best, score = best_ids(own, np.repeat(score, self.starts[nodes + 1] - self.starts[nodes]), query, k)
+                if len(best) < min(k, len(self.known) - (query in self.known)):
+                    best, score = best_ids(self.ids, np.repeat(self.x.astype(np.float64) @ some[i], np.diff(self.starts)), query, k)
+                out[0].append(np.full(len(best), query, dtype=np.int64))
+                out[1].append(best)
+                out[2].append(score)
+        return tuple(np.concatenate(c) for c in out)
+
+
+def build_index(rows: DataFrame, id_col: str, vector: str, shards: int, keep: int) -> DataFrame:
+    """The shards' bodies in pieces: rows (dim, shard, piece, body).  Distinct pairs of id and vector are dealt evenly by
+    their hash; vectors of one length share shards only with their like."""
+
+    def build(key, batches):
+        import numpy as np
+        import pyarrow as pa
+
+        t = pa.Table.from_batches(list(batches)) if not isinstance(batches, pa.Table) else batches
+        dim, shard = (x.as_py() for x in key)
+        x = vectors.matrix(t["v"].combine_chunks(), dim)
+        body = Shard(t["id"].to_numpy(), np.asarray(x), keep).dump()
+        pieces = [body[at : at + PIECE] for at in range(0, len(body), PIECE)]
+        return pa.table({"dim": pa.array([dim] * len(pieces), pa.int32()), "shard": pa.array([shard] * len(pieces), pa.int32()), "piece": pa.array(range(len(pieces)), pa.int32()), "body": pa.array(pieces, pa.binary())})
+
+    dealt = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).distinct()
+    dealt = dealt.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64(F.lit(4), "id", "v"), F.lit(shards)).cast("int"))
+    return dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, piece int, body binary")
 
 
 def best_ids(ids, score, own: int, k: int):
@@ -199,68 +283,81 @@ def best_ids(ids, score, own: int, k: int):
     return ids[order[first]], score[order[first]]
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", shard_rows: int = 8192, block_rows: int = 2048, width: int = 128) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", shard_rows: int = 65_536, query_group: int = 65_536, width: int = 128) -> DataFrame:
     """Each query's k nearest rows by inner product, its own id left out: query_id, rank, vec_id, score (double).
 
-    Vectors that are null, zero or hold null or non-finite components take no part, nor do null ids and vectors of
-    another length than most; ties go to the smaller id; rows with the query's id are not candidates.  An id is one
-    neighbour with its best score, however many rows and vectors it has; where the rows a search finds in a shard are of
-    fewer than k ids though the shard has more, all of the shard's rows are compared.  Shards hold a bounded number of
-    rows, queries come in bounded blocks, and each block meets each shard once.
+    Vectors that are null, zero or hold null or non-finite components take no part, nor do null ids; a query's
+    candidates are the vectors of its length.  Ties go to the smaller id; rows with the query's id are not candidates.
+    An id is one neighbour with its best score, however many rows and vectors it has; where the rows a search finds
+    in a shard are of fewer than k ids though the shard has more, all of the shard's rows are compared.  An empty table or
+    no queries give an empty result; other columns are not read.
+
+    There are SHARDS shards, and more only where a shard would hold over ``shard_rows`` rows, as a
+    search of a larger shard costs hardly more.  Every query meets every shard: queries come in groups of about
+    ``query_group``, and a task reads a shard's body once for a whole group, then its queries as a stream.
     """
     spark = rows.sparkSession
     shared.ship(spark)
-    ready = rows.where(vectors.usable(vector) & F.col(id_col).isNotNull())
-    dim, n = ready.agg(F.mode(F.size(vector)), F.count("*")).first()
-    schema = "query_id long, vec_id long, score double"
+    usable = lambda df: df.where(vectors.usable(vector) & F.col(id_col).isNotNull())
+    ready = usable(rows)
+    n = ready.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shards = max(1, -(-n // shard_rows))
-    index = shared.materialize(build_index(ready.where(F.size(vector) == dim), id_col, vector, dim, shards, k + 1), "hnsw")
-    asked = queries.where(vectors.usable(vector) & F.col(id_col).isNotNull() & (F.size(vector) == dim)).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).distinct()
-    blocks = max(1, -(-asked.count() // block_rows))
+    shards = max(SHARDS, -(-n // shard_rows))
+    index = shared.materialize(build_index(ready, id_col, vector, shards, k + 1), "hnsw")
+    code = "<f4" if vectors.is_single(rows, vector) else "<f8"
+    asked = usable(queries).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).distinct()
 
-    def block(batches: Iterator) -> Iterator:
+    def pack(batches: Iterator) -> Iterator:
+        """Queries in blocks of one length."""
+        import numpy as np
         import pyarrow as pa
 
-        held = [b for b in batches if len(b)]
-        if held:
-            t = pa.Table.from_batches(held).combine_chunks()
-            body = pickle.dumps((t.column(0).to_numpy(), vectors.matrix(t.column(1).chunk(0), dim)), protocol=5)
-            yield pa.RecordBatch.from_arrays([pa.array([body], pa.binary())], names=["block"])
+        held: dict[int, list] = {}
+
+        def flush(dim: int) -> pa.RecordBatch:
+            ids, raw = zip(*held.pop(dim))
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([np.asarray(ids, dtype="<i8").tobytes()]), pa.array([b"".join(raw)])], names=["dim", "ids", "body"])
+
+        for batch in batches:
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)):
+                held.setdefault(len(v), []).append((i, np.asarray(v, dtype=code).tobytes()))
+                if len(held[len(v)]) == QUERY_ROWS:
+                    yield flush(len(v))
+        for dim in list(held):
+            yield flush(dim)
+
+    blocks = shared.materialize(asked.mapInArrow(pack, "dim int, ids binary, body binary"), "queries")
+    groups = max(1, -(-blocks.count() * QUERY_ROWS // query_group))
+    group = F.pmod(F.xxhash64(F.lit(6), "ids"), F.lit(groups)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    none = F.lit(None).cast("binary")
+    streams = index.select("dim", "shard", every(groups).alias("group"), "piece", none.alias("ids"), "body").unionByName(blocks.select("dim", every(shards).alias("shard"), group.alias("group"), F.lit(1 << 30).alias("piece"), "ids", "body"))
+    parts = min(shards * groups, max(shards, 8 * spark.sparkContext.defaultParallelism))
+    streams = streams.repartition(parts, "dim", "shard", "group").sortWithinPartitions("dim", "shard", "group", "piece")
 
     def search(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
-            for body, block_body in zip(b.column(0), b.column(1)):
-                state, x, ids, starts = pickle.loads(body.as_buffer())
-                q_ids, q = pickle.loads(block_body.as_buffer())
-                graph = Graph.__new__(Graph)
-                graph.__dict__ = state
-                x = x.astype(np.float64)
-                known = set(ids.tolist())
-                for at in range(0, len(q), 512):
-                    some = q[at : at + 512].astype(np.float64)
-                    found = graph.search(some, max(width, k + 1))
-                    out = ([], [], [])
-                    for i, nodes in enumerate(found):
-                        nodes = nodes[nodes >= 0]
-                        score = x[nodes] @ some[i]
-                        own = np.concatenate([ids[starts[r] : starts[r + 1]] for r in nodes]) if len(nodes) else ids[:0]
-                        best, score = best_ids(own, np.repeat(score, starts[nodes + 1] - starts[nodes]), q_ids[at + i], k)
-                        if len(best) < min(k, len(known) - (int(q_ids[at + i]) in known)):
-                            best, score = best_ids(ids, np.repeat(x @ some[i], np.diff(starts)), q_ids[at + i], k)
-                        out[0].append(np.full(len(best), q_ids[at + i]))
-                        out[1].append(best)
-                        out[2].append(score)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
-
-    asked_blocks = asked.repartition(blocks).mapInArrow(block, "block binary").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    # bodies of a few MB: few of them in an Arrow batch
-    met = index.join(asked_blocks, "shard").select("body", "block").repartition(max(1, shards * blocks))
-    found = met.mapInArrow(search, schema)
+        at, pieces, shard = None, [], None
+        for batch in batches:
+            for dim, number, part, _, ids, body in zip(*[c.to_pylist() for c in batch.columns]):
+                if at != (dim, number, part):
+                    at, pieces, shard = (dim, number, part), [], None
+                if ids is None:
+                    pieces.append(body)
+                    continue
+                if shard is None:
+                    if not pieces:
+                        continue  # no row of the shard has this length
+                    shard, pieces = Shard.load(b"".join(pieces)), []
+                found = shard.nearest(np.frombuffer(ids, dtype="<i8"), np.frombuffer(body, dtype=code).reshape(-1, dim), k, width)
+                for low in range(0, len(found[0]), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[low : low + 10_000]) for c in found], names=["query_id", "vec_id", "score"])
+
+    with shared.few_records(spark, 8):
+        found = shared.materialize(streams.mapInArrow(search, "query_id long, vec_id long, score double"), "found")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return merged.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -227,6 +227,19 @@ def test_hnsw_counts_ids_not_rows(spark, kind):
         assert hit / total >= 0.9
 
 
+def test_hnsw_meets_only_vectors_of_one_length(spark):
+    g = np.random.default_rng(8)
+    rows = [(i, g.normal(size=3 + i % 2).tolist()) for i in range(200)] + [(500, [1.0] * 9), (501, [])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, shard string")
+    got = defaultdict(list)
+    for r in hnsw.nearest(df, df.where("vec_id % 10 < 2 or vec_id > 400"), 5).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert got.keys() == {i for i in range(200) if i % 10 < 2}
+    for q, found in got.items():
+        want = sorted(((i, float(np.dot(rows[q][1], v))) for i, v in rows if i != q and len(v) == len(rows[q][1])), key=lambda x: (-x[1], x[0]))[:5]
+        assert [i for i, _ in found] == [i for i, _ in want] and all(abs(a[1] - b[1]) < 1e-12 for a, b in zip(found, want))
+
+
 def test_vector_dups(spark, vecs):
     got = Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vectordups.near_duplicates(vecs, cell_rows=100, block_rows=64).collect())
     rows = vector_rows()
