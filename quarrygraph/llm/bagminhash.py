@@ -131,12 +131,14 @@ def _bands(sig):
     return x.view(np.int64), (sig & np.uint64(0xFF)).astype(np.uint8)
 
 
-def text_key(text):
-    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+def text_key(text) -> list:
+    """128 bits of a text as columns k1 and k2; a null text is empty."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, t (hash of the text), bands array<long>, sketch binary: one narrow pass over whole texts."""
+    """doc_id, k1 and k2 (hash of the text), bands array<long>, sketch binary: one narrow pass over whole texts."""
     shared.ship(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
@@ -144,43 +146,57 @@ def sign(docs: DataFrame) -> DataFrame:
 
         shingler = Shingler()
         for b in batches:
-            ids, t, texts = b.column(0), b.column(1), b.column(2).to_pylist()
+            keys, texts = b.columns[:3], b.column(3).to_pylist()
             for at in range(0, len(texts), 256):
                 bands, sketch = _bands(signatures([shingler.bag(x) for x in texts[at : at + 256]]))
                 lists = pa.ListArray.from_arrays(pa.array(range(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel()))
-                yield pa.RecordBatch.from_arrays([ids[at : at + 256], t[at : at + 256], lists, pa.array([s.tobytes() for s in sketch], pa.binary())], names=["doc_id", "t", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([*(c[at : at + 256] for c in keys), lists, pa.array([s.tobytes() for s in sketch], pa.binary())], names=["doc_id", "k1", "k2", "bands", "sketch"])
 
-    few = docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("t"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return few.mapInArrow(run, "doc_id long, t long, bands array<long>, sketch binary")
+    few = docs.select(F.col("doc_id").cast("long"), *text_key(F.col("text")), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return few.mapInArrow(run, "doc_id long, k1 long, k2 long, bands array<long>, sketch binary")
 
 
-def _texts(needed: DataFrame, docs: DataFrame) -> DataFrame:
-    """(t, text): each text once whose hash may be needed."""
+def _texts(needed: DataFrame, unique: DataFrame, docs: DataFrame) -> DataFrame:
+    """(t, text) of the texts numbered in needed (a column t, which may repeat), each once."""
+    named = needed.select("t").distinct().join(unique.select("t", "k1", "k2"), "t")
     # at most NEED_BUCKETS rows, so this broadcast has a bound; a saturated one just thins out nothing
-    wanted = F.broadcast(needed.select(F.pmod("t", F.lit(NEED_BUCKETS)).alias("bucket")).distinct())
-    texts = docs.select(text_key(F.col("text")).alias("t"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(wanted, F.pmod("t", F.lit(NEED_BUCKETS)) == F.col("bucket"), "left_semi").dropDuplicates(["t"])
+    wanted = F.broadcast(named.select(F.pmod("k1", F.lit(NEED_BUCKETS)).alias("bucket")).distinct())
+    texts = docs.select(*text_key(F.col("text")), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return texts.join(wanted, F.pmod("k1", F.lit(NEED_BUCKETS)) == F.col("bucket"), "left_semi").dropDuplicates(["k1", "k2"]).join(named, ["k1", "k2"]).select("t", "text")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of text hashes whose texts have at least the similarity, by their whole multisets."""
+def _verified(pairs: DataFrame, unique: DataFrame, docs: DataFrame, threshold: float, block_rows: int = 512) -> DataFrame:
+    """The pairs (a, b) of text numbers whose texts have at least the similarity, by their whole multisets.
+
+    The a of one b come in blocks, and b's text goes to each block once, ahead of theirs, not to each a.
+    """
+    parts = _tasks(pairs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        shingler = Shingler()
+        shingler, bag_b, good = Shingler(), None, ([], [])
         for batch in batches:
-            text_a, text_b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            last, bag_b, good = None, None, []
-            for x, y in zip(text_a, text_b):
-                if y is not last and y != last:
-                    last, bag_b = y, shingler.bag(y)
-                good.append(similarity(shingler.bag(x), bag_b) >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+            for b, a, text in zip(*[c.to_pylist() for c in batch.select(["b", "a", "text"]).columns]):
+                if a is None:
+                    bag_b = shingler.bag(text)
+                elif similarity(shingler.bag(text), bag_b) >= threshold:
+                    good[0].append(a)
+                    good[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in good], names=["a", "b"])
+            good = ([], [])
+
+    texts = shared.materialize(_texts(pairs.select(F.col("a").alias("t")).union(pairs.select(F.col("b").alias("t"))), unique, docs), "texts")
+    counts = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(float(block_rows))).cast("int").alias("blocks"))
+    heads = counts.join(texts.withColumnRenamed("t", "b"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("a"), "text")
+    block = F.pmod(F.xxhash64(F.lit(5), "a"), F.col("blocks")).cast("int")
+    rows = pairs.join(counts, "b").select("b", block.alias("block"), "a").join(texts.withColumnRenamed("t", "a"), "a").select("b", "block", "a", "text")
+    dealt = heads.unionByName(rows).repartition(parts, "b", "block").sortWithinPartitions("b", "block", F.col("a").asc_nulls_first())
+    return dealt.mapInArrow(run, "a long, b long")
+
 
-    texts = _texts(pairs.select(F.col("a").alias("t")).union(pairs.select(F.col("b").alias("t"))), docs)
-    both = pairs.join(texts.select(F.col("t").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("t").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+def _tasks(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _blocks_of(batches: Iterator, work) -> Iterator:
@@ -207,14 +223,14 @@ def _blocks_of(batches: Iterator, work) -> Iterator:
         yield out([work(held)])
 
 
-def _leftover_links(members: DataFrame, docs: DataFrame, threshold: float, block_rows: int = 512) -> DataFrame:
+def _leftover_links(members: DataFrame, unique: DataFrame, docs: DataFrame, threshold: float, block_rows: int = 512) -> DataFrame:
     """Links (a, b) that connect members (bucket, t, component, sketch) of one bucket and different components.
 
     A bucket is cut into blocks of bounded size.  First sketches are compared, each pair of blocks by array operations,
     and the members with a partner that may be similar enough stay; then their whole texts' multisets are compared, a pair
     of blocks by one product, so the decision is exact.  Both give a row per member, never a row per pair.
     """
-    parts = max(members.sparkSession.sparkContext.defaultParallelism, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = _tasks(members.sparkSession)
     counts = members.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(float(block_rows))).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64(F.lit(3), "t"), F.col("blocks")).cast("int")
     spread = members.join(counts, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -245,7 +261,7 @@ def _leftover_links(members: DataFrame, docs: DataFrame, threshold: float, block
     near = dealt(spread).mapInArrow(lambda batches: _blocks_of(batches, sketched), "a long, b long").distinct()
     near = shared.materialize(near.select(F.col("a").alias("bucket"), F.col("b").alias("t")), "near")
     # blocks anew, of what is left
-    texts = _texts(near.select("t"), docs)
+    texts = _texts(near, unique, docs)
     left = members.select("bucket", "t", "component").join(near, ["bucket", "t"])
     counts = left.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(float(block_rows))).cast("int").alias("blocks"))
     spread = left.join(counts, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -292,23 +308,28 @@ def _leftover_links(members: DataFrame, docs: DataFrame, threshold: float, block
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Per row: doc_id, t (hash of its text), class_id, kept.
+    """Per row: doc_id, k1 and k2 (hash of its text), class_id, kept.
 
     Texts link when the weighted Jaccard of their multisets of five-word shingles is at least ``threshold``; classes are
     what links connect, equal texts included, and ``class_id`` is the smallest doc_id of the class (null only if all
-    are null); ``kept`` marks the rows with that id and one text of the class, the least hash t of those that occur with it,
-    so only rows repeated in id and text are kept together.  Null texts are empty, empty texts are equal.
-
-    Signatures come from one narrow pass; equal texts are one node from there on.  In each bucket of each band every
-    text is first compared with the bucket's least (a text's best such partner is verified), which joins most
-    groups in time linear in their size; then members of one bucket that are still in different components are compared
-    with each other in bounded blocks, by sketches and then exactly.  So no link between texts that share a bucket is
-    lost, no bucket's pairs are emitted, and a pair at the threshold shares a bucket with chance 0.9999.
+    are null); ``kept`` marks the rows with that id and one text of the class, the least hash of those that occur with it,
+    so only rows repeated in id and text are kept together.  Null texts are empty, empty texts are equal; very long texts
+    are read whole, one at a time; an empty table gives no rows; other columns, whatever their names, are not read.
+
+    Signatures come from one narrow pass; equal texts (by 128 bits) are one node from there on, with a number of its own.
+    In each bucket of each band every text is first compared with the bucket's least (a text's best such partner is
+    verified), which joins most groups in time linear in their size; then members of one bucket that are still in
+    different components are compared with each other in bounded blocks, by sketches and then exactly.  So no link between
+    texts that share a bucket is lost but those whose sketches agree in 0.16 less than ``threshold`` (4.4 standard
+    deviations, so one link in 10^5 at the threshold, rarer above), no bucket's pairs are emitted, and a pair at the
+    threshold shares a bucket with chance 0.9999.
     """
     signed = shared.materialize(sign(docs), "signed")
-    unique = shared.materialize(signed.groupBy("t").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "unique")
+    unique = signed.groupBy("k1", "k2").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"))
+    unique = shared.materialize(unique.withColumn("t", F.monotonically_increasing_id()), "unique")
     in_band = unique.select("t", F.explode("bands").alias("bucket"))
-    crowded = in_band.groupBy("bucket").agg(F.min("t").alias("rep"), F.max("t").alias("last")).where("rep < last").select("bucket", "rep")
+    # tables of their own, so the joins with them are plain ones that adaptive execution splits at hot buckets
+    crowded = shared.materialize(in_band.groupBy("bucket").agg(F.min("t").alias("rep"), F.max("t").alias("last")).where("rep < last").select("bucket", "rep"), "crowded")
     members = shared.materialize(in_band.join(crowded, "bucket"), "members")
     sketches = unique.select("t", "sketch")
     pairs = members.where("t <> rep").select("t", "rep").distinct()
@@ -317,25 +338,26 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     best = pairs.select("t", "rep", agree.alias("agree")).where(F.col("agree") >= (threshold - ESTIMATE_SLACK) * REGISTERS)
     best = best.groupBy("t").agg(F.max_by("rep", F.struct("agree", "rep")).alias("rep"))
     first = shared.materialize(best.select(F.col("t").alias("a"), F.col("rep").alias("b")), "pairs")
-    links = shared.materialize(_verified(first, docs, threshold), "verified")
+    links = shared.materialize(_verified(first, unique, docs, threshold), "verified")
     groups = shared.materialize(shared.components(links), "groups")
     labelled = members.select("bucket", "t").join(groups.withColumnRenamed("id", "t"), "t", "left").withColumn("component", F.coalesce("component", "t"))
     labelled = shared.materialize(labelled, "labelled")
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
+    mixed = shared.materialize(labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket"), "buckets")
     rest = shared.materialize(labelled.join(mixed, "bucket").join(sketches, "t"), "mixed")
-    more = shared.materialize(_leftover_links(rest, docs, threshold), "verified")
+    more = shared.materialize(_leftover_links(rest, unique, docs, threshold), "verified")
     groups = shared.components(links.union(more))
-    judged = unique.select("t", "least").join(groups.withColumnRenamed("id", "t"), "t", "left").withColumn("component", F.coalesce("component", "t"))
-    classes = judged.groupBy("component").agg(F.min("least").alias("class_id"), F.min(F.struct(F.col("least").isNull(), "least", "t"))["t"].alias("chosen"))
-    named = judged.select("t", "component").join(classes, "component").select("t", "class_id", (F.col("t") == F.col("chosen")).alias("chosen"))
-    return signed.select("doc_id", "t").join(named, "t").select("doc_id", "t", "class_id", (F.col("chosen") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
+    judged = unique.select("t", "k1", "k2", "least").join(groups.withColumnRenamed("id", "t"), "t", "left").withColumn("component", F.coalesce("component", "t"))
+    classes = judged.groupBy("component").agg(F.min("least").alias("class_id"), F.min(F.struct(F.col("least").isNull(), "least", "k1", "k2", "t"))["t"].alias("chosen"))
+    named = judged.join(classes, "component").select("k1", "k2", "class_id", (F.col("t") == F.col("chosen")).alias("chosen"))
+    return signed.select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "k1", "k2", "class_id", (F.col("chosen") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The rows of docs, one of each class: that with the smallest doc_id; of several texts with that id and of repeated rows one."""
-    kept = near_duplicates(docs, threshold).where("kept").select("doc_id", "t").distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), text_key(F.col("text")).alias("__t"), F.col("doc_id").cast("long").alias("__id"))
-    out = rows.join(kept, (F.col("__t") == F.col("t")) & F.col("__id").eqNullSafe(F.col("doc_id"))).dropDuplicates(["__t", "__id"])
+    kept = near_duplicates(docs, threshold).where("kept").select(F.col("doc_id").alias("__kept"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
+    k1, k2 = text_key(F.col("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), k1.alias("__a"), k2.alias("__b"), F.col("doc_id").cast("long").alias("__id"))
+    out = rows.join(kept, (F.col("__a") == F.col("__k1")) & (F.col("__b") == F.col("__k2")) & F.col("__id").eqNullSafe(F.col("__kept"))).dropDuplicates(["__a", "__b", "__id"])
     return out.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
 
 

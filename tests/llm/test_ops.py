@@ -527,7 +527,7 @@ def test_one_row_of_a_class_stays_when_ids_repeat(spark):
     per = defaultdict(set)
     for r in bagminhash.near_duplicates(docs).collect():
         if r["kept"]:
-            per[r["class_id"]].add((r["doc_id"], r["t"]))
+            per[r["class_id"]].add((r["doc_id"], (r["k1"], r["k2"])))
     assert {c: len(v) for c, v in per.items()} == {8: 1, None: 1} and {d for v in per.values() for d, _ in v} == {8, None}
     kept = [(r["doc_id"], r["text"]) for r in bagminhash.keep_one(docs).collect()]
     assert len(kept) == 2 and {d for d, _ in kept} == {8, None} and {(d, t) for d, t, *_ in rows} >= set(kept)
