@@ -93,13 +93,21 @@ def expand_uses(annotated: DataFrame, uses: DataFrame, source_lines: DataFrame)
     """The expansion of every macro use: (file, line, start_col, end_col, macro, expansion, status).
 
     uses: file, line, start_col, end_col.  source_lines: file, line, content.  A use's line is looked up among annotated
-    lines with its number and the same path or, failing that, the same base name; the first one counts.
+    lines (path, raw_no, src_file, src_line, content) with its number: first those of the same path, and where there are
+    none those of the same base name; of several the first one counts, by unit (path) and place in it (raw_no).  Repeated
+    uses are one row; a line without a use's source text has no anchors.  status is ok, no_line, no_anchor or overlap.
+
+    Annotated lines are first brought down to one for each source place, so a header that many units include, or a base
+    name that many files have, meets a use once.
     """
     base = lambda c: F.element_at(F.split(c, "/"), -1)
-    with_line = uses.join(source_lines.select("file", "line", "content"), ["file", "line"], "left").withColumn("a", anchors(F.col("content"), F.col("start_col"), F.col("end_col")))
-    here = annotated.select(F.col("src_file").alias("f"), base(F.col("src_file")).alias("b"), F.col("src_line").alias("n"), "raw_no", F.col("content").alias("seen"))
-    hits = with_line.withColumn("base", base(F.col("file"))).join(here, (F.col("line") == F.col("n")) & (F.col("base") == F.col("b")), "left")
+    order = F.struct("path", "raw_no", "content")
+    exact = annotated.groupBy(F.col("src_file").alias("file"), F.col("src_line").alias("line")).agg(F.min(order).alias("exact"))
+    near = exact.groupBy(base(F.col("file")).alias("base"), "line").agg(F.min("exact").alias("near"))
+    text = source_lines.groupBy("file", "line").agg(F.min("content").alias("content"))
     keys = ["file", "line", "start_col", "end_col"]
-    one = hits.groupBy(*keys).agg(F.first("a").alias("a"), F.min_by("seen", "raw_no").alias("seen"))
+    asked = uses.select(*keys).distinct().join(text, ["file", "line"], "left").withColumn("base", base(F.col("file")))
+    found = asked.join(exact, ["file", "line"], "left").join(near, ["base", "line"], "left")
+    one = found.select(*keys, anchors(F.col("content"), F.col("start_col"), F.col("end_col")).alias("a"), F.coalesce("exact", "near")["content"].alias("seen"))
     made = between(F.col("seen"), F.col("a.before"), F.col("a.after"))
     return one.select(*keys, F.col("a.macro").alias("macro"), F.when(F.col("seen").isNotNull(), made["text"]).alias("expansion"), F.when(F.col("seen").isNull(), "no_line").otherwise(made["status"]).alias("status"))

@@ -34,3 +34,19 @@ def test_commands(spark):
     assert df.select(mx.preprocess_arguments(F.col("a"), F.col("f"), "t")).first()[0] == ["gcc", "-E", "-Wall", "-o", "t/a.i", "/w/a.c"]
     assert df.select(mx.macro_dump_command(F.col("a"), F.lit("s.c"), F.lit("o.i"))).first()[0] == ["gcc", "-Wall", "a.c", "-E", "-dD", "s.c", "-o", "o.i"]
     assert df.select(mx.mirror_path(F.col("f"), "t")).first()[0] == "t/w/a.c.i"
+
+
+def test_the_same_path_wins_over_the_same_base_name(spark):
+    seen = [("u1.i", 500, "/x/a.c", 10, "v = RIGHT;"), ("u2.i", 3, "/y/a.c", 10, "v = WRONG;"), ("u1.i", 2, "/z/b.c", 4, "w = LATER;"), ("u0.i", 9, "/q/b.c", 4, "w = FIRST;"), ("u0.i", 8, "/q/b.c", 5, "; w =")]
+    annotated = spark.createDataFrame(seen, "path string, raw_no int, src_file string, src_line int, content string")
+    source = spark.createDataFrame([("/x/a.c", 10, "v = M;"), ("/r/b.c", 4, "w = M;"), ("/r/b.c", 5, "w = M;")], "file string, line int, content string")
+    uses = spark.createDataFrame([("/x/a.c", 10, 5, 6)] * 2 + [("/r/b.c", 4, 5, 6), ("/r/b.c", 5, 5, 6), ("/none.c", 1, 1, 2)], "file string, line int, start_col int, end_col int")
+    got = {(r["file"], r["line"]): (r["expansion"], r["status"]) for r in mx.expand_uses(annotated, uses, source).collect()}
+    assert got == {("/x/a.c", 10): ("RIGHT", "ok"), ("/r/b.c", 4): ("FIRST", "ok"), ("/r/b.c", 5): (None, "overlap"), ("/none.c", 1): (None, "no_line")}
+
+
+def test_annotated_text_and_words(spark):
+    df = spark.createDataFrame([("f", i + 1, line) for i, line in enumerate(PRE)], "path string, raw_no int, line string")
+    assert [r["value"] for r in mx.annotated_text(mx.annotate(df)).collect()][:3] == ["??:1\tbefore", "a.c:1\tint x;", "b.h:7\tint y;"]
+    one = spark.createDataFrame([("a.b ab", "ab", True), ("a.b", "ab", False), ("x+=y", "+=", True), ("xy", "x", False), ("(p)->q", "->", True)], "line string, token string, found boolean")
+    assert all(r["found"] == r["t"] for r in one.withColumn("t", mx.token_in_line(F.col("line"), F.col("token"))).collect())
