@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cfacts import COLUMNS, facts
+from ..functions.clexer import lex
 from ..functions.cparser import parse
+from ..sources.scratch import kept
 from ..sources.shipping import ship
 from .intervals import holding
 
@@ -96,6 +98,73 @@ def field_child(cst: DataFrame, of: DataFrame, field: str) -> DataFrame:
     return of.join(c, ["file", "pre"]).groupBy("file", "pre").agg(F.min_by("child", "child_ix").alias("child"))
 
 
+def child_of_type(cst: DataFrame, of: DataFrame, *types: str) -> DataFrame:
+    """For nodes (file, pre) their first direct child of the types: rows file, pre, child."""
+    c = cst.where(F.col("type").isin(*types)).select("file", F.col("parent_pre").alias("pre"), F.col("pre").alias("child"), "child_ix")
+    return of.join(c, ["file", "pre"]).groupBy("file", "pre").agg(F.min_by("child", "child_ix").alias("child"))
+
+
+def declarator_chain(cst: DataFrame, of: DataFrame) -> DataFrame:
+    """For nodes (file, pre) the end of their chain of declarator fields: rows file, pre, end, steps; those without one are
+    left out.
+
+    A chain ends at the first node without such a child, a parenthesized declarator for one.  A step looks two, four,
+    eight ... links ahead, so there are as many joins as the longest chain has binary digits.
+    """
+    link = cst.where("field_name = 'declarator'").groupBy("file", F.col("parent_pre").alias("pre")).agg(F.min_by(F.struct("pre", "child_ix"), "child_ix")["pre"].alias("end"))
+    link = kept(link.withColumn("steps", F.lit(1)), "chain")
+    while True:
+        ahead = link.select("file", F.col("pre").alias("end"), F.col("end").alias("next"), F.col("steps").alias("more"))
+        joined = link.join(ahead, ["file", "end"], "left")
+        longer = kept(joined.select("file", "pre", F.coalesce("next", "end").alias("end"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("moved")), "chain")
+        link = longer.drop("moved")
+        if longer.where("moved").isEmpty():
+            break
+    return of.select("file", "pre").join(link, ["file", "pre"])
+
+
+def declarator_name(cst: DataFrame, of: DataFrame) -> DataFrame:
+    """For declarators (file, pre, last) the first identifier or field identifier in them: rows file, pre, name."""
+    return first_descendant(cst, of, "identifier", "field_identifier")
+
+
+#: Words, operators and delimiters that the highlight classes name.
+KEYWORDS = (
+    "break", "case", "const", "continue", "default", "do", "else", "enum", "extern", "for", "if", "inline", "return", "sizeof", "static", "struct",
+    "switch", "typedef", "union", "volatile", "while",
+)
+OPERATORS = ("--", "-", "-=", "->", "=", "!=", "*", "&", "&&", "+", "++", "+=", "<", "==", ">", "||")
+DELIMITERS = (".", ";")
+
+LEXEMES = "file string, start_byte int, end_byte int, kind string, text string"
+
+
+def _lexemes(file: str, content: bytes) -> Iterator[tuple]:
+    for t in lex(content.decode("latin-1"))[0]:
+        if t.kind != "eol":
+            word = t.start if t.kind in ("id", "num", "str", "chr", "op") else None
+            text = content[t.start : t.end] if word is not None else t.text.encode("latin-1")
+            yield file, t.start, t.end, t.kind if word is not None else "directive", text.decode("utf-8", "ignore")
+
+
+def lexemes(files: DataFrame) -> DataFrame:
+    """(file, content) to the tokens of the text, those without a node of their own too: file, start_byte, end_byte, kind
+    (id, num, str, chr, op, directive), text; a directive's text is its first word."""
+    return _per_file(files, LEXEMES, _lexemes)
+
+
+def lexeme_class(tokens: DataFrame) -> DataFrame:
+    """Highlight classes of lexemes, as token_class() has those of nodes: file, start_byte, text, class."""
+    t = F.col("text")
+    made = (
+        F.when((F.col("kind") == "id") & t.isin(*KEYWORDS), "keyword")
+        .when(F.col("kind") == "directive", "keyword")
+        .when((F.col("kind") == "op") & t.isin(*OPERATORS), "operator")
+        .when((F.col("kind") == "op") & t.isin(*DELIMITERS), "delimiter")
+    )
+    return tokens.select("file", "start_byte", "text", made.alias("class")).where("class is not null")
+
+
 def without_subtrees(cst: DataFrame, *types: str) -> DataFrame:
     """The tree without the nodes of the types and all below them."""
     cut = cst.where(F.col("type").isin(*types)).select(F.col("file").alias("f"), F.col("pre").alias("p"), F.col("last").alias("l"))

@@ -14,8 +14,8 @@ from .intervals import holding
 #: Width of a bin in the join of macro uses with the sides around them.
 LINES_A_BIN = 64
 
-#: The order of entity kinds within a file, and of relation types in the output.
-KINDS = ("FILE", "FUNCTION", "STRUCT", "VARIABLE", "PARAM", "FIELD")
+#: The order of entity kinds within a file (the last two only in the intended mode), and of relation types in the output.
+KINDS = ("FILE", "FUNCTION", "STRUCT", "VARIABLE", "PARAM", "FIELD", "TYPEDEF", "ENUM")
 RELATIONS = ("CALLS", "ASSIGNED_TO", "CONTAINS", "HAS_MEMBER", "HAS_PARAMETER", "HAS_VARIABLE", "RETURNS", "TYPE_OF")
 ENTITY_COLUMNS = ("id", "name", "type", "scope", "role", "start_line", "end_line", "source_file")
 
@@ -177,7 +177,7 @@ def relations_of(facts: DataFrame, entities: DataFrame, macros: DataFrame | None
     parts.append(out(both.where("l is not null and r is not null"), F.col("l"), F.col("r"), "ASSIGNED_TO"))
 
     # ids inside a file are dense, so a target's id also gives its place among the file's edges
-    inside = of("FUNCTION", "STRUCT").unionByName(of("VARIABLE").where("scope = 'global'"))
+    inside = of("FUNCTION", "STRUCT", "TYPEDEF", "ENUM").unionByName(of("VARIABLE").where("scope = 'global'"))
     file_ids = of("FILE").select(F.col("file").alias("f"), F.col("gid").alias("file_id"))
     if shipped:
         named = of("FUNCTION").groupBy("name").agg(F.max("gid").alias("gid")).select("gid")

@@ -77,9 +77,11 @@ def kg_priority_resolve(t):
     return j.select("l_orderkey", "l_linenumber", F.coalesce(F.concat(F.lit("part "), "p_name"), F.concat(F.lit("supplier "), "s_name"), F.concat(F.lit("order "), "l_orderkey")).alias("target"))
 
 
-@query("SELECT o_custkey, max(o_orderkey) AS last_order FROM orders GROUP BY o_custkey")
+@query("SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS last_priority, arg_max(o_orderdate, o_orderkey)::VARCHAR AS last_date FROM orders GROUP BY o_custkey")
 def kg_last_wins(t):
-    return t("orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", "o_orderkey").alias("last_order"))
+    """Of several definitions of a name the one met last counts, whatever it says."""
+    last = lambda c: F.max_by(c, "o_orderkey")
+    return t("orders").groupBy("o_custkey").agg(last("o_orderpriority").alias("last_priority"), last(F.col("o_orderdate").cast("string")).alias("last_date"))
 
 
 @query("SELECT p_brand AS name, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS ids, count(*) AS n FROM part GROUP BY p_brand")
@@ -159,9 +161,12 @@ def kg_semi(t):
     return t("customer").join(t("orders").where("o_totalprice > 100000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = (SELECT min(o_orderpriority) FROM orders))")
 def kg_anti(t):
-    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers without an order of the first priority."""
+    first = t("orders").agg(F.min("o_orderpriority").alias("m"))
+    asked = t("orders").join(F.broadcast(first), F.col("o_orderpriority") == F.col("m"))
+    return t("customer").join(asked, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 def _slices(t):
@@ -226,22 +231,34 @@ def kg_json_props(t):
     return t("events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query(r"SELECT item_id, len(regexp_extract_all(text, '[^\s]+'))::BIGINT AS n, regexp_extract(text, '[^\s]+') AS first_token FROM benchmark")
+#: Texts of both tables that have some.
+T_SQL = "SELECT 'document' AS kind, doc_id AS id, coalesce(text, '') AS text FROM documents UNION ALL SELECT 'benchmark', item_id, coalesce(text, '') FROM benchmark"
+
+
+def _texts(t) -> DataFrame:
+    some = lambda table, key, kind: t(table).select(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return some("documents", "doc_id", "document").unionByName(some("benchmark", "item_id", "benchmark"))
+
+
+@query(rf"SELECT kind, id, len(regexp_extract_all(text, '[^ \t\n\r\f\v]+'))::BIGINT AS n, nullif(regexp_extract(text, '[^ \t\n\r\f\v]+'), '') AS first_token FROM ({T_SQL})")
 def kg_tokens(t):
-    tokens = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
-    return t("benchmark").select("item_id", F.size(tokens).cast("long").alias("n"), F.element_at(tokens, 1).alias("first_token"))
+    tokens = F.regexp_extract_all("text", F.lit(r"[^ \t\n\r\f\x0B]+"), F.lit(0))
+    return _texts(t).select("kind", "id", F.size(tokens).cast("long").alias("n"), F.try_element_at(tokens, F.lit(1)).alias("first_token"))
 
 
-@query(r"SELECT w AS token, regexp_matches(w, '^[A-Za-z_][A-Za-z0-9_]*$') AS is_word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^ \t\n\r\f\v]+')) AS w FROM benchmark) GROUP BY ALL")
+@query(rf"SELECT w AS token, regexp_matches(w, '^[A-Za-z_][A-Za-z0-9_]*$') AS is_word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^ \t\n\r\f\v]+')) AS w FROM ({T_SQL})) GROUP BY ALL")
 def kg_word_predicate(t):
-    w = t("benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r\f\x0B]+"), F.lit(0))).alias("token"))
+    w = _texts(t).select(F.explode(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r\f\x0B]+"), F.lit(0))).alias("token"))
     return w.groupBy("token").agg(F.count("*").alias("n")).select("token", mx.is_word(F.col("token")).alias("is_word"), "n")
 
 
-@query("""SELECT item_id, trim(substr(line, strpos(line, '=') + 1, length(line) - strpos(reverse(line), ';') - strpos(line, '='))) AS inside FROM (SELECT item_id, 'x = ' || item_id || ' ; y ;' AS line FROM benchmark)""")
+@query(f"""SELECT kind, id, CASE WHEN a = 0 THEN 'no_anchor' WHEN z < a + 1 THEN 'overlap' ELSE 'ok' END AS status, CASE WHEN a > 0 AND z >= a + 1 THEN trim(substr(text, (a + 1)::BIGINT, (z - a - 1)::BIGINT), ' ') END AS inside
+FROM (SELECT kind, id, text, strpos(text, ',') AS a, CASE WHEN strpos(text, '.') = 0 THEN 0 ELSE length(text) - strpos(reverse(text), '.') + 1 END AS z FROM ({T_SQL})) WHERE a = 0 OR z > 0
+UNION ALL SELECT kind, id, 'no_anchor', NULL FROM ({T_SQL}) WHERE strpos(text, ',') > 0 AND strpos(text, '.') = 0""")
 def kg_substring_between(t):
-    line = F.concat(F.lit("x = "), F.col("item_id"), F.lit(" ; y ;"))
-    return t("benchmark").select("item_id", mx.between(line, F.lit("="), F.lit(";"))["text"].alias("inside"))
+    """What stands between the first comma and the last full stop of every text, and why there is nothing."""
+    x = _texts(t).select("kind", "id", mx.between(F.col("text"), F.lit(","), F.lit(".")).alias("b"))
+    return x.select("kind", "id", "b.status", F.col("b.text").alias("inside"))
 
 
 @query("""SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages""")
@@ -255,12 +272,25 @@ def kg_turn_edges(t):
     return t("conversations").select("conv_id", F.col("turn").alias("head"), nxt.alias("tail")).where("tail is not null")
 
 
-@query(f"WITH {E_SQL}, {V_SQL} SELECT head, tail, type FROM e WHERE head NOT IN (SELECT id FROM v) OR tail NOT IN (SELECT id FROM v)")
+@query(f"WITH {E_SQL} SELECT head, tail, type FROM e WHERE head LIKE 'N:%' OR tail LIKE 'N:%' OR tail LIKE 'S:%'")
 def kg_dangling(t):
-    return gq.dangling(_edges(t), _vertices(t))
+    """Edges that have lost an end: the nations and suppliers are kept out of the vertices."""
+    return gq.dangling(_edges(t), _vertices(t).where("type not in ('NATION', 'SUPPLIER')"))
+
+
+#: What stands for a vertex or edge type of the driver tables in the colour maps.
+AS_NODE = {"REGION": "FILE", "NATION": "STRUCT", "CUSTOMER": "FUNCTION", "SUPPLIER": "FIELD", "PART": "TYPEDEF"}
+AS_EDGE = {"CONTAINS": "CONTAINS", "HAS_CUSTOMER": "HAS_MEMBER", "HAS_SUPPLIER": "TYPE_OF", "PLACED": "CALLS"}
+
+
+def _case(column: str, table: dict, colors: dict, other: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{colors.get(v, other)}'" for k, v in table.items()) + f" ELSE '{other}' END"
 
 
-@query(f"WITH {E_SQL}, {V_SQL} SELECT (CASE WHEN n = 1 THEN '#cccccc' END) AS color, c AS n FROM (SELECT 1 AS n, count(*) AS c FROM v)")
+@query(f"""WITH {E_SQL}, {V_SQL} SELECT id AS a, name || chr(10) || '(' || CASE type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in AS_NODE.items())} ELSE type END || ')' AS b, {_case('type', AS_NODE, gq.NODE_COLORS, gq.OTHER_NODE)} AS color FROM v
+UNION ALL SELECT head, tail, {_case('type', AS_EDGE, gq.EDGE_COLORS, gq.OTHER_EDGE)} FROM e""")
 def kg_styled_nodes(t):
-    nodes, _ = gq.styled(_vertices(t), _edges(t))
-    return nodes.groupBy("color").agg(F.count("*").alias("n"))
+    """All nodes with label and colour, and all edges with theirs."""
+    named = lambda c, table: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col(c)), F.col(c)).alias(c)
+    nodes, edges = gq.styled(_vertices(t).select("id", "name", named("type", AS_NODE)), _edges(t).select("head", "tail", named("type", AS_EDGE)))
+    return nodes.select(F.col("id").alias("a"), F.col("label").alias("b"), "color").unionByName(edges.select(F.col("head").alias("a"), F.col("tail").alias("b"), "color"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import kg_queries, src_queries
+from . import io_queries, kg_queries, src_queries
 
-QUERIES: dict = {**src_queries.QUERIES, **kg_queries.QUERIES}
-ORACLES: dict = {**src_queries.ORACLES, **kg_queries.ORACLES}
+QUERIES: dict = {**src_queries.QUERIES, **io_queries.QUERIES, **kg_queries.QUERIES}
+ORACLES: dict = {**src_queries.ORACLES, **io_queries.ORACLES, **kg_queries.ORACLES}
 FLAGSHIP = "src_relation_histogram"

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph_build import ENTITY_COLUMNS, Graph
+from ..operators.macro_expansion import annotated_text
+from .scratch import kept
 
 
 def entity_json(graph: Graph) -> DataFrame:
@@ -33,9 +37,61 @@ def write_graph(graph: Graph, path: str, format: str = "parquet") -> None:
         raise ValueError("format is parquet or json")
 
 
+#: Hexadecimal digits of a file name's hash that name the folder of its rows.
+SHELF_DIGITS = 2
+
+
+def shelf(file: Column) -> Column:
+    """The folder of a file's rows: files share a bounded number of folders, whatever their number."""
+    return F.substring(F.md5(F.encode(file, "UTF-8")), 1, SHELF_DIGITS)
+
+
 def write_per_file(graph: Graph, path: str) -> None:
-    """Entities in one folder per source file."""
-    graph.entities.select(*ENTITY_COLUMNS[:-1], F.col("file").alias("source_file")).write.mode("overwrite").partitionBy("source_file").json(path)
+    """Entities by source file as JSON lines: a file's rows are together, in output order, on its shelf."""
+    rows = graph.entities.select(*ENTITY_COLUMNS[:-1], F.col("file").alias("source_file"), shelf(F.col("file")).alias("shelf"), "gid")
+    rows.repartition("shelf").sortWithinPartitions("shelf", "source_file", "gid").drop("gid").write.mode("overwrite").partitionBy("shelf").json(path)
+
+
+def read_one_file(spark: SparkSession, path: str, file: str) -> DataFrame:
+    """The rows of one source file from what write_per_file() wrote; only its shelf is read."""
+    return spark.read.json(path).where((F.col("shelf") == shelf(F.lit(file))) & (F.col("source_file") == file)).drop("shelf")
+
+
+def write_tree(files: DataFrame, folder: str) -> DataFrame:
+    """Write (file, content) as files of a folder in any store that pyarrow reaches, tasks side by side; gives the manifest
+    (file, path, bytes).  A file is written under a name of its own attempt and moved into place."""
+
+    def write(batches: Iterator) -> Iterator:
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + folder)
+        for batch in batches:
+            names, paths, sizes = [], [], []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                at = f"{root.rstrip('/')}/{name.lstrip('/')}"
+                store.create_dir(at.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(own := f"{at}.{uuid.uuid4().hex}") as out:
+                    out.write(content or b"")
+                store.move(own, at)
+                names.append(name)
+                paths.append(at)
+                sizes.append(len(content or b""))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["file", "path", "bytes"])
+
+    return kept(files.select(F.col("file").cast("string"), F.col("content").cast("binary")).mapInArrow(write, "file string, path string, bytes long"), "tree")
+
+
+def write_annotated(annotated: DataFrame, path: str) -> None:
+    """Lines ``file:line<TAB>content`` of preprocessed text, in order."""
+    annotated_text(annotated).write.mode("overwrite").text(path)
+
+
+def write_expansions(expansions: DataFrame, path: str) -> None:
+    """The expansion texts that were found, in the order of their places."""
+    expansions.where("status = 'ok'").orderBy("file", "line", "start_col").select(F.col("expansion").alias("value")).write.mode("overwrite").text(path)
 
 
 def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:

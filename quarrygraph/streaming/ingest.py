@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.cfacts import COLUMNS
 from ..operators.cst import file_facts
 from ..sources import scratch
+from ..sources.writers import shelf
 
 FILES = "file string, content binary"
 
@@ -26,9 +27,28 @@ def c_file_stream(spark: SparkSession, directory: str) -> DataFrame:
     return raw.where(F.lower("path").rlike(r"\.(c|h)$")).select(F.regexp_replace("path", "^file:/+", "/").alias("file"), "content")
 
 
-def upsert_facts(batch: DataFrame, path: str) -> None:
-    """A foreachBatch body: the batch's files replace their partition of the fact table, others stay."""
-    batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(path)
+def upsert_facts(batch: DataFrame, path: str, files: DataFrame | None = None) -> None:
+    """A foreachBatch body: the batch's files replace their rows in the fact table, other files' rows stay.
+
+    The table lies on a bounded number of shelves by the hash of file names; only the batch's shelves are written anew.
+    ``files`` (a column file) names files that changed, for those of which no fact is left.
+    """
+    spark, batch = batch.sparkSession, scratch.kept(batch, "batch")
+    names = batch.select("file").union(files.select("file")) if files is not None else batch.select("file")
+    names = scratch.kept(names.distinct().withColumn("shelf", shelf(F.col("file"))), "names")
+    rows = batch.withColumn("shelf", shelf(F.col("file")))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        old = spark.read.schema(f"{COLUMNS}, shelf string").parquet(path)
+        # at most 16 ** SHELF_DIGITS rows
+        here = F.broadcast(names.select("shelf").distinct())
+        old = scratch.kept(old.join(here, "shelf", "left_semi").join(names.select("file"), "file", "left_anti"), "old")
+        rows = rows.unionByName(old)
+    gone = names.join(rows.select("shelf").distinct(), "shelf", "left_anti").select("shelf").distinct()
+    rows.repartition("shelf").sortWithinPartitions("shelf", "file").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shelf").parquet(path)
+    for row in gone.collect():  # shelves that hold nothing any more, at most 16 ** SHELF_DIGITS
+        empty = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shelf={row['shelf']}")
+        empty.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(empty, True)
 
 
 def functions_of_stream(spark: SparkSession, files: DataFrame) -> DataFrame:

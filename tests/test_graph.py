@@ -156,3 +156,108 @@ def test_stream_upsert(spark, tmp_path):
     upsert_facts(file_facts(both), at)
     upsert_facts(file_facts(spark.createDataFrame([("b.c", b"int c; int d;")], "file string, content binary")), at)
     assert sorted((r["file"], r["name"]) for r in spark.read.parquet(at).collect()) == [("a.c", "a"), ("b.c", "c"), ("b.c", "d")]
+
+
+def test_per_file_shelves(spark, graphs, tmp_path):
+    g = graphs["intended"]
+    writers.write_per_file(g, str(tmp_path / "f"))
+    back = writers.read_one_file(spark, str(tmp_path / "f"), "/s/b.c").collect()
+    assert [r["id"] for r in back] == [r["id"] for r in g.entities.where("file = '/s/b.c'").orderBy("gid").collect()]
+    assert len(list((tmp_path / "f").glob("shelf=*"))) <= 2
+
+
+def test_json_that_is_not_json_is_an_error(spark, tmp_path):
+    (tmp_path / "m.json").write_text('[{"file": "a.c", "location": [1, 2')
+    with pytest.raises(Exception):
+        readers.read_macros(spark, str(tmp_path / "m.json"), "/b").collect()
+    with pytest.raises(Exception):
+        readers.read_relations(spark, str(tmp_path / "none.json")).collect()
+    (tmp_path / "c.json").write_text('[{"arguments": ["cc", "-c", "x.c"], "directory": "/d", "file": "/d/x.c"}, {"arguments": [], "directory": "/d", "file": "/d/y.c"}]')
+    both = readers.read_compile_commands(spark, str(tmp_path / "c.json"))
+    assert [r["file"] for r in both.orderBy("ord").collect()] == ["/d/x.c", "/d/y.c"]
+    assert [r["file"] for r in readers.read_compile_commands(spark, str(tmp_path / "c.json"), first_only=True).collect()] == ["/d/x.c"]
+
+
+def test_tree_of_files(spark, tmp_path):
+    df = spark.createDataFrame([("a/b.c", bytearray(b"int x;")), ("c.h", None), ("a/b.c", bytearray(b"int x;"))], "file string, content binary")
+    made = writers.write_tree(df, str(tmp_path / "t"))
+    assert sorted((r["file"], r["bytes"]) for r in made.collect()) == [("a/b.c", 6), ("a/b.c", 6), ("c.h", 0)]
+    assert sorted(p.name for p in (tmp_path / "t").rglob("*") if p.is_file()) == ["b.c", "c.h"]
+
+
+def test_upsert_of_files_without_facts(spark, tmp_path):
+    from quarrygraph.operators.cst import file_facts
+    from quarrygraph.streaming.ingest import upsert_facts
+
+    at = str(tmp_path / "facts")
+    of = lambda *rows: file_facts(spark.createDataFrame([(n, bytearray(c)) for n, c in rows], "file string, content binary"))
+    upsert_facts(of(*[(f"f{i}.c", b"int a;") for i in range(30)]), at)
+    upsert_facts(of(("f3.c", b"int b, c;")), at, spark.createDataFrame([("f4.c",)], "file string"))
+    got = sorted((r["file"], r["name"]) for r in spark.read.parquet(at).collect())
+    assert got == sorted([(f"f{i}.c", "a") for i in range(30) if i not in (3, 4)] + [("f3.c", "b"), ("f3.c", "c")])
+
+
+SHELF = b"""typedef struct Slot Slot;
+struct Slot {
+    int width;
+    Slot *after;
+    int (*check)(int, int);
+};
+union Value {
+    int whole;
+    char *words;
+};
+enum Mood { CALM, LOUD };
+int total = 3;
+int check_all(Slot *slot, int limit) {
+    int seen = total;
+    slot->check = check_one;
+    seen = slot->check(limit, seen);
+    return seen;
+}
+"""
+BACK = b"""int check_one(int a, int b) {
+    total = a;
+    return total;
+}
+void start() {
+    check_all(0, 1);
+}
+"""
+
+
+@pytest.fixture(scope="module")
+def whole(spark):
+    files = spark.createDataFrame([("/m/shelf.c", bytearray(SHELF)), ("/m/back.c", bytearray(BACK))], "file string, content binary")
+    return {m: extract(files, None, m) for m in ("shipped", "intended")}
+
+
+def test_a_whole_graph_as_shipped(whole):
+    """Every entity in order and every relation of two files, worked out by hand."""
+    g = whole["shipped"]
+    got = [(r["name"].rpartition("/")[2], r["type"], r["scope"], r["start_line"]) for r in g.entities.orderBy("gid").collect()]
+    assert got == [
+        ("back.c", "FILE", None, None), ("check_one", "FUNCTION", None, 1), ("start", "FUNCTION", None, 5), ("a", "VARIABLE", "check_one", 1), ("b", "VARIABLE", "check_one", 1),
+        ("shelf.c", "FILE", None, None), ("check_all", "FUNCTION", None, 13), ("Slot", "STRUCT", "global", 2), ("Value", "STRUCT", "global", 7), ("total", "VARIABLE", "global", 12), ("seen", "VARIABLE", "check_all", 14),
+        ("slot", "VARIABLE", "check_all", 13), ("limit", "VARIABLE", "check_all", 13), ("width", "FIELD", "Slot", 3), ("after", "FIELD", "Slot", 4), ("check", "FIELD", "Slot", 5), ("whole", "FIELD", "Value", 8), ("words", "FIELD", "Value", 9),
+    ]
+    name = {r["gid"]: r["name"].rpartition("/")[2] for r in g.entities.collect()}
+    edges = sorted((r["type"], name[r["head"]], name[r["tail"]]) for r in g.edges().collect())
+    every = ["check_one", "start", "check_all", "Slot", "Value", "total"]
+    want = [("CALLS", "start", "check_all"), ("CALLS", "check_all", "slot"), ("RETURNS", "check_one", "total"), ("RETURNS", "check_all", "seen")]
+    want += [("ASSIGNED_TO", "seen", "total"), ("ASSIGNED_TO", "check", "check_one"), ("ASSIGNED_TO", "seen", "check"), ("ASSIGNED_TO", "total", "a")]
+    want += [("CONTAINS", f, x) for f in ("back.c", "shelf.c") for x in every]
+    want += [("HAS_PARAMETER", h, x) for h, x in (("check_one", "a"), ("check_one", "b"), ("check_all", "slot"), ("check_all", "limit")) for _ in range(2)]
+    want += [("HAS_VARIABLE", "check_all", "seen")] * 2
+    assert edges == sorted(want)
+
+
+def test_a_whole_graph_as_intended(whole):
+    g = whole["intended"]
+    kinds = {(r["name"], r["type"], r["scope"]) for r in g.entities.where("kind in ('TYPEDEF', 'ENUM', 'STRUCT')").collect()}
+    assert kinds == {("Slot", "TYPEDEF", "global"), ("Mood", "ENUM", "global"), ("Slot", "STRUCT", "global"), ("Value", "STRUCT", "global")}
+    got = named(g)
+    assert {e for e in got if e[2] == "CALLS"} == {("start", "check_all", "CALLS"), ("check_all", "check", "CALLS")}
+    assert {e for e in got if e[2] == "TYPE_OF"} == {("after", "Slot", "TYPE_OF"), ("slot", "Slot", "TYPE_OF")}
+    assert {e for e in got if e[2] == "CONTAINS"} == {("back.c", "check_one", "CONTAINS"), ("back.c", "start", "CONTAINS")} | {("shelf.c", x, "CONTAINS") for x in ("check_all", "Slot", "Value", "Mood", "total")}
+    assert len([1 for e in got if e[2] == "HAS_MEMBER"]) == 5
