@@ -6,7 +6,7 @@ last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrygraph.llm import bagminhash, mixing, packing, quality, secrets, shared
@@ -15,10 +15,21 @@ from quarrygraph.llm import bagminhash, mixing, packing, quality, secrets, share
 REJECT_BELOW = 0.5
 
 
+def carried(docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns that an operator reads by their names, the others by numbers, so that none can clash with what the
+    operator adds."""
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in needed else f"__{i}") for i, c in enumerate(docs.columns)])
+
+
+def restored(rows: DataFrame, docs: DataFrame, *needed: str, **changed: Column) -> DataFrame:
+    """The columns of docs again, but for those that have changed."""
+    return rows.select(*[changed.get(c, F.col(c if c in needed else f"__{i}")).alias(c) for i, c in enumerate(docs.columns)])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from labels that are not held out, reject documents scored low."""
     net = quality.fit(docs, shared.table(spark, sf_dir, "labels"))
-    return quality.score(docs, net).where(F.col("score") >= REJECT_BELOW).select(*docs.columns)
+    return restored(quality.score(carried(docs, "text"), net).where(F.col("score") >= REJECT_BELOW), docs, "text")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,17 +38,20 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by marks; n_chars follows."""
-    clean = secrets.redact(secrets.find_secrets(docs))
+    """Secrets are replaced by marks; n_chars follows where there is one."""
+    needed, changed = ("doc_id", "text", "lang", "source"), {}
+    clean = secrets.redact(secrets.find_secrets(carried(docs, *needed)))
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.size("secrets") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return clean.select(*docs.columns)
+        before = F.col(f"__{docs.columns.index('n_chars')}")
+        changed["n_chars"] = F.when(F.size("secrets") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(before)
+    return restored(clean, docs, *needed, **changed)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
-    mixed = mixing.mix(docs).where("copies > 0")
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    needed = ("doc_id", "text", "source")
+    mixed = mixing.mix(carried(docs, *needed)).where("copies > 0")
+    return restored(mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs, *needed)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
