@@ -9,26 +9,30 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-CHUNK, WIDTH, DEPTH, FILTERS, HIDDEN, PAD = 512, 8, 4, 32, 16, 256
+CHUNK, WIDTH, DEPTH, FILTERS, HIDDEN, PAD = 96, 8, 4, 24, 16, 256
 #: Chunks overlap by a filter's width less one, so every window of a text lies in just one of them.
 STRIDE = CHUNK - WIDTH + 1
-#: Chunks that are convolved at a time, which bounds memory whatever the texts' lengths.
-BLOCK = 96
+#: Chunks that are convolved at a time: what they need fits a core's cache, whatever the texts' lengths.
+BLOCK = 40
 
 
 def chunks(raw: bytes):
-    """Overlapping chunks that cover all bytes, as an (n, CHUNK) array of byte values; PAD fills the last one up."""
+    """Overlapping chunks that cover all bytes, as an (n, CHUNK) array of byte values; the last one ends with the text, and
+    PAD fills up a text that is shorter than one."""
     import numpy as np
 
-    n = max(1, -(-(len(raw) - CHUNK) // STRIDE) + 1)
-    padded = np.full((n - 1) * STRIDE + CHUNK, PAD, dtype=np.int16)
-    padded[: len(raw)] = np.frombuffer(raw, dtype=np.uint8)
-    return np.lib.stride_tricks.sliding_window_view(padded, CHUNK)[::STRIDE]
+    if len(raw) <= CHUNK:
+        one = np.full((1, CHUNK), PAD, dtype=np.int16)
+        one[0, : len(raw)] = np.frombuffer(raw, dtype=np.uint8)
+        return one
+    starts = np.minimum(np.arange(-(-(len(raw) - CHUNK) // STRIDE) + 1) * STRIDE, len(raw) - CHUNK)
+    return np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, dtype=np.uint8), CHUNK)[starts].astype(np.int16)
 
 
 class Network:
-    """Bytes are embedded; filters of WIDTH bytes meet every window of every chunk, and each filter's maximum over all
-    chunks of the document is rectified; a hidden layer makes them one log odds, so one probability a document."""
+    """Bytes are embedded; filters of WIDTH bytes meet every window of every chunk and are max-pooled in each chunk.  A
+    document is the largest and the least of each filter's maxima over its chunks, rectified (the least tells of a stretch
+    that lacks what the rest has); a hidden layer combines them into one log odds, so one probability."""
 
     def __init__(self, seed: int = 1):
         import numpy as np
@@ -37,34 +41,37 @@ class Network:
         width = WIDTH * DEPTH
         draw = lambda *shape: rng.normal(0, 1, shape).astype(np.float32)
         self.p = {
-            "embed": draw(PAD + 1, DEPTH) * 0.5, "filters": draw(width, FILTERS) / np.sqrt(width), "bias": np.zeros(FILTERS, np.float32),
-            "hidden": draw(FILTERS, HIDDEN) / np.sqrt(FILTERS), "hidden_bias": np.zeros(HIDDEN, np.float32), "out": draw(HIDDEN) / np.sqrt(HIDDEN), "out_bias": np.zeros(1, np.float32),
+            "embed": draw(PAD + 1, DEPTH) * 0.5, "filters": draw(width, FILTERS) / np.sqrt(width), "bias": np.zeros(2 * FILTERS, np.float32),
+            "hidden": draw(2 * FILTERS, HIDDEN) / np.sqrt(2 * FILTERS), "hidden_bias": np.zeros(HIDDEN, np.float32), "out": draw(HIDDEN) / np.sqrt(HIDDEN), "out_bias": np.zeros(1, np.float32),
         }
         self.p["embed"][PAD] = 0
 
     def responses(self, x, starts, where: bool = False):
-        """Each filter's largest response in each document, (documents, FILTERS); with ``where`` also the chunk and the
-        window it comes from.  Chunks are convolved in blocks; of a block only the maxima stay."""
+        """For each document the largest and the least of each filter's maxima in its chunks, (documents, 2 FILTERS); with
+        ``where`` also the chunk and the window they come from.  Of a block of chunks only these stay."""
         import numpy as np
 
-        top = np.full((len(starts), FILTERS), -np.inf, dtype=self.p["filters"].dtype)
-        chunk, place = np.zeros(top.shape, dtype=np.int64), np.zeros(top.shape, dtype=np.int64)
+        pooled = np.repeat(np.array([[-np.inf], [np.inf]], dtype=self.p["filters"].dtype), FILTERS, axis=1)
+        pooled = np.repeat(pooled[:, None], len(starts), axis=1)  # (2, documents, FILTERS)
+        chunk, place = np.zeros(pooled.shape, dtype=np.int64), np.zeros(pooled.shape, dtype=np.int64)
         every = np.arange(FILTERS)
         for low in range(0, len(x), BLOCK):
-            e = self.p["embed"][x[low : low + BLOCK]].reshape(-1, CHUNK * DEPTH)
+            e = self.p["embed"].take(x[low : low + BLOCK], axis=0).reshape(-1, CHUNK * DEPTH)
             windows = np.lib.stride_tricks.sliding_window_view(e, WIDTH * DEPTH, axis=1)[:, ::DEPTH]
             h = (windows.reshape(-1, WIDTH * DEPTH) @ self.p["filters"]).reshape(len(e), -1, FILTERS)
             m = h.max(1)
             first, last = np.searchsorted(starts, [low, low + len(e) - 1], side="right") - 1
             cuts = np.maximum(starts[first : last + 1], low) - low
-            here = np.maximum.reduceat(m, cuts)
-            if where:
-                winner = np.stack([a + m[a:b].argmax(0) for a, b in zip(cuts, [*cuts[1:], len(e)])])
-                window = h[winner, :, every].argmax(2)
-                better = here > top[first : last + 1]
-                chunk[first : last + 1][better], place[first : last + 1][better] = low + winner[better], window[better]
-            top[first : last + 1] = np.maximum(top[first : last + 1], here)
-        return top, chunk, place
+            for i, (pool, winner) in enumerate(((np.maximum, np.argmax), (np.minimum, np.argmin))):
+                here, known = pool.reduceat(m, cuts), pooled[i, first : last + 1]
+                if where:
+                    won = np.stack([a + winner(m[a:b], axis=0) for a, b in zip(cuts, [*cuts[1:], len(e)])])
+                    better = here > known if i == 0 else here < known
+                    line, column = np.nonzero(better)
+                    chunk[i, first + line, column] = low + won[line, column]
+                    place[i, first + line, column] = h[won[line, column], :, every[column]].argmax(1)
+                pooled[i, first : last + 1] = pool(known, here)
+        return tuple(np.concatenate(list(z), axis=1) for z in (pooled, chunk, place))
 
     def forward(self, x, starts, keep: bool = False):
         """Log odds of each document; its chunks begin in x at ``starts``; with keep also what backward() needs."""
@@ -86,11 +93,11 @@ class Network:
         g["hidden"], g["hidden_bias"] = pooled.T @ d_hidden, d_hidden.sum(0)
         d_top = (d_hidden @ p["hidden"].T) * (pooled > 0)
         g["bias"] = d_top.sum(0)
-        # only the window that gave a filter's maximum counts
-        seen = x[chunk[..., None], place[..., None] + np.arange(WIDTH)]  # (documents, FILTERS, WIDTH) bytes
+        # only the window that gave what was pooled counts
+        seen = x[chunk[..., None], place[..., None] + np.arange(WIDTH)]  # (documents, 2 FILTERS, WIDTH) bytes
         e = p["embed"][seen].reshape(*chunk.shape, WIDTH * DEPTH)
-        g["filters"] = np.einsum("df,dfk->kf", d_top, e)
-        d_e = (d_top[..., None] * p["filters"].T).reshape(-1, DEPTH)
+        g["filters"] = np.einsum("df,dfk->kf", d_top, e).reshape(-1, 2, FILTERS).sum(1)
+        d_e = (d_top[..., None] * np.tile(p["filters"].T, (2, 1))).reshape(-1, DEPTH)
         g["embed"] = np.stack([np.bincount(seen.ravel(), d_e[:, i], PAD + 1) for i in range(DEPTH)], axis=1).astype(np.float32)
         g["embed"][PAD] = 0
         return g

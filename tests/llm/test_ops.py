@@ -304,26 +304,29 @@ def test_quality(spark, docs, empty):
 
 
 def slow_score(net, text):
-    """One filter and one byte of it at a time, over the whole text at once."""
-    raw = text.encode()
-    n = max(1, -(-(len(raw) - quality.CHUNK) // quality.STRIDE) + 1)
-    seen = list(raw) + [quality.PAD] * ((n - 1) * quality.STRIDE + quality.CHUNK - len(raw))
+    """One filter and one byte of it at a time; chunks are looked at one by one."""
+    raw = list(text.encode())
+    raw += [quality.PAD] * (quality.CHUNK - len(raw))
+    starts = [*range(0, len(raw) - quality.CHUNK, quality.STRIDE), len(raw) - quality.CHUNK]
     p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    e, pooled = p["embed"][seen], []
+    e, largest, least = p["embed"][raw], [], []
     for f in range(quality.FILTERS):
-        response = np.zeros(len(seen) - quality.WIDTH + 1)
+        response = np.zeros(len(raw) - quality.WIDTH + 1)
         for j in range(quality.WIDTH):
             for d in range(quality.DEPTH):
                 response += e[j : j + len(response), d] * p["filters"][j * quality.DEPTH + d, f]
-        pooled.append(max(0.0, response.max() + p["bias"][f]))
-    hidden = [max(0.0, sum(pooled[f] * p["hidden"][f, h] for f in range(quality.FILTERS)) + p["hidden_bias"][h]) for h in range(quality.HIDDEN)]
+        tops = [response[s : s + quality.CHUNK - quality.WIDTH + 1].max() for s in starts]
+        largest.append(max(tops))
+        least.append(min(tops))
+    pooled = [max(0.0, x + b) for x, b in zip(largest + least, p["bias"])]
+    hidden = [max(0.0, sum(x * p["hidden"][f, h] for f, x in enumerate(pooled)) + p["hidden_bias"][h]) for h in range(quality.HIDDEN)]
     odds = sum(x * w for x, w in zip(hidden, p["out"])) + p["out_bias"][0]
     return 1 / (1 + math.exp(-odds))
 
 
 def test_scores_equal_a_slow_loop_over_filters():
     net = quality.Network(seed=7)
-    net.p["bias"] += np.linspace(-0.5, 0.5, quality.FILTERS, dtype=np.float32)
+    net.p["bias"] += np.linspace(-0.5, 0.5, 2 * quality.FILTERS, dtype=np.float32)
     edge = [quality.CHUNK + k * quality.STRIDE + d for k in (0, 1, 2, 200) for d in (-1, 0, 1)]
     texts = ["", "x", "é", *[words(n, 40_000)[:n] for n in edge], words(5, 200_000)[:1_000_000], "same" * 9, "same" * 9]
     got = quality.score_texts(net, texts)
