@@ -11,7 +11,7 @@ from . import shared
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code point order, null last, repeating.
 WEIGHTS = (3, 1, 2)
-HASH_BITS, LEVEL_BITS = 60, 12
+HASH_BITS, LEVEL_BITS = 60, 10
 MAX_BROADCAST_SOURCES = 20_000
 
 
@@ -29,20 +29,30 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0) -> D
     """Per source (rows source, source_size) its target: weighted shares of ``share`` times all, stopping at ``most``
     times the source's size, the excess shared anew by weight until none is above.
 
-    Solved in one sweep: in the order of size to weight the sources stop one by one, and the level is where the rest
-    first fits, which is the highest level at which it fits.  One row per source only, so the windows over all of them are small.
+    Sources are numbered within ranges of their names, so only a row for each range meets in one task.  The level that all
+    open sources share rises as sources stop: each round is one sum over the sources, until none stops any more.  No
+    source or an empty table gives no rows.
     """
-    ranked = sizes.select("source", "source_size", F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source"))).alias("rank"))
+    spark = sizes.sparkSession
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order = [F.col("source").isNull(), F.col("source")]
+    dealt = shared.materialize(sizes.select("source", "source_size").repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()), "sources")
+    before = dealt.groupBy("range").agg(F.count("*").alias("n"))
+    before = before.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    ranked = dealt.join(before, "range").withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy(*order)))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), F.pmod(F.col("rank") - 1, F.lit(len(WEIGHTS))).cast("int") + 1)
-    stop = ranked.withColumn("weight", weight).withColumn("stop", F.lit(most) * F.col("source_size"))
-    order = Window.orderBy(F.col("stop") / F.col("weight"), "rank")
-    swept = stop.withColumn("stopped", F.coalesce(F.sum("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    swept = swept.withColumn("open", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
-    swept = swept.withColumn("all", F.sum("source_size").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).cast("double"))
-    level = (F.lit(share) * F.col("all") - F.col("stopped")) / F.col("open")
-    swept = swept.withColumn("level", F.when(level <= F.col("stop") / F.col("weight"), level))
-    first = F.max("level").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return swept.select("source", "source_size", F.least(F.col("stop"), F.col("weight") * F.coalesce(first, F.lit(float("inf")))).alias("target"))
+    table = shared.materialize(ranked.select("source", "source_size", weight.alias("weight"), (F.lit(most) * F.col("source_size")).alias("stop")), "sources")
+    budget = share * float(table.agg(F.sum("source_size")).first()[0] or 0)
+    level, last = 0.0, -1
+    while True:
+        open_ = F.col("stop") / F.col("weight") >= F.lit(level)
+        stopped, weights, n = table.agg(F.sum(F.when(~open_, F.col("stop"))), F.sum(F.when(open_, F.col("weight"))), F.count_if(open_)).first()
+        if not n:
+            level = float("inf")
+        if not n or n == last:
+            break
+        level, last = (budget - (stopped or 0.0)) / weights, n
+    return table.select("source", "source_size", F.least(F.col("stop"), F.col("weight") * F.lit(level)).alias("target"))
 
 
 def mix(rows: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
