@@ -187,7 +187,7 @@ def _verified(pairs: DataFrame, unique: DataFrame, docs: DataFrame, threshold: f
             good = ([], [])
 
     texts = shared.materialize(_texts(pairs.select(F.col("a").alias("t")).union(pairs.select(F.col("b").alias("t"))), unique, docs), "texts")
-    counts = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(float(block_rows))).cast("int").alias("blocks"))
+    counts = shared.materialize(pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(float(block_rows))).cast("int").alias("blocks")), "counts")
     heads = counts.join(texts.withColumnRenamed("t", "b"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("a"), "text")
     block = F.pmod(F.xxhash64(F.lit(5), "a"), F.col("blocks")).cast("int")
     rows = pairs.join(counts, "b").select("b", block.alias("block"), "a").join(texts.withColumnRenamed("t", "a"), "a").select("b", "block", "a", "text")
@@ -231,7 +231,8 @@ def _leftover_links(members: DataFrame, unique: DataFrame, docs: DataFrame, thre
     of blocks by one product, so the decision is exact.  Both give a row per member, never a row per pair.
     """
     parts = _tasks(members.sparkSession)
-    counts = members.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(float(block_rows))).cast("int").alias("blocks"))
+    # a table of its own, so the join with it is a plain one that adaptive execution splits at hot buckets
+    counts = shared.materialize(members.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(float(block_rows))).cast("int").alias("blocks")), "counts")
     own = F.pmod(F.xxhash64(F.lit(3), "t"), F.col("blocks")).cast("int")
     spread = members.join(counts, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "t", "component", "sketch")
@@ -262,8 +263,8 @@ def _leftover_links(members: DataFrame, unique: DataFrame, docs: DataFrame, thre
     near = shared.materialize(near.select(F.col("a").alias("bucket"), F.col("b").alias("t")), "near")
     # blocks anew, of what is left
     texts = _texts(near, unique, docs)
-    left = members.select("bucket", "t", "component").join(near, ["bucket", "t"])
-    counts = left.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(float(block_rows))).cast("int").alias("blocks"))
+    left = shared.materialize(members.select("bucket", "t", "component").join(near, ["bucket", "t"]), "left")
+    counts = shared.materialize(left.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(float(block_rows))).cast("int").alias("blocks")), "counts")
     spread = left.join(counts, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "t", "component").join(texts, "t")
     spread = spread.select("bucket", "i", "j", "own", "t", "component", "text")

@@ -13,6 +13,8 @@ from . import shared, vectors
 NEIGHBOURS, BUILD_WIDTH = 16, 64
 #: Rows of a graph that are inserted at a time.
 BATCH = 512
+#: Rows that a step of a search expands for each query: the best of those not expanded yet.
+EXPAND = 8
 #: Bytes of a piece of a shard's arrays, and vectors of a query block: the rows that tasks exchange.
 PIECE, QUERY_ROWS = 1 << 20, 1024
 #: Shards that any index has, so that its building and small query sets are spread over tasks.
@@ -153,24 +155,31 @@ class Graph:
         done[:, :k] = ids[:, :k] < 0
         for j in range(k):
             visited[rows, slot[np.maximum(ids[:, j], 0)]] |= ids[:, j] >= 0
+        step = min(EXPAND, width)
         while True:
             pending = np.where(done, -np.inf, score)
-            pick = pending.argmax(1)
-            live = np.flatnonzero(~done[rows, pick])
+            live = np.flatnonzero(pending.max(1) > -np.inf)
             if not len(live):
                 return np.take_along_axis(ids, np.argsort(-score, axis=1, kind="stable"), 1)
-            done[live, pick[live]] = True
-            near = links[slot[ids[live, pick[live]]]]
-            safe = np.maximum(near, 0)
-            spot = slot[safe]
-            fresh = (near >= 0) & ~visited[live[:, None], spot]
-            # only rows not met before are compared
-            line, column = np.nonzero(fresh)
-            visited[live[line], spot[line, column]] = True
-            s = np.full(near.shape, -np.inf, dtype=np.float32)
-            s[line, column] = np.einsum("nd,nd->n", self.x[near[line, column]], q[live[line]])
-            all_ids, all_s = np.concatenate([ids[live], near], 1), np.concatenate([score[live], s], 1)
-            all_done = np.concatenate([done[live], ~fresh], 1)
+            pick = np.argpartition(-pending[live], step - 1, axis=1)[:, :step]
+            good = np.take_along_axis(pending[live], pick, 1) > -np.inf
+            done[live[:, None], pick] = True
+            near = np.where(good[..., None], links[slot[np.maximum(ids[live[:, None], pick], 0)]], -1).reshape(len(live), -1)
+            line, column = np.nonzero(near >= 0)
+            row = near[line, column]
+            # only rows not met before are compared, and those that several of the expanded ones link to once
+            fresh = ~visited[live[line], slot[row]]
+            line, row = line[fresh], row[fresh]
+            _, once = np.unique(line * np.int64(len(self.x)) + row, return_index=True)
+            line, row = line[once], row[once]
+            visited[live[line], slot[row]] = True
+            count = np.bincount(line, minlength=len(live))
+            within = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
+            found, s = np.full((len(live), count.max(initial=0)), -1, dtype=np.int32), np.full((len(live), count.max(initial=0)), -np.inf, dtype=np.float32)
+            found[line, within] = row
+            s[line, within] = np.einsum("nd,nd->n", self.x[row], q[live[line]])
+            all_ids, all_s = np.concatenate([ids[live], found], 1), np.concatenate([score[live], s], 1)
+            all_done = np.concatenate([done[live], found < 0], 1)
             top = np.argpartition(-all_s, width - 1, axis=1)[:, :width]
             ids[live], score[live], done[live] = (np.take_along_axis(z, top, 1) for z in (all_ids, all_s, all_done))
 

@@ -116,7 +116,8 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec
 
     placed = members.select("gid", "copies", "label", "v").mapInArrow(assign, "gid long, copies long, label string, cell int, raw binary")
     placed = shared.materialize(placed, "cells")
-    counts = placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / F.lit(float(block_rows))).cast("int").alias("blocks"))
+    # a table of its own, so the join with it is a plain one that adaptive execution splits at hot cells
+    counts = shared.materialize(placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / F.lit(float(block_rows))).cast("int").alias("blocks")), "counts")
     placed = placed.join(counts, ["label", "cell"]).withColumn("own", F.pmod(F.xxhash64(F.lit(2), "gid"), F.col("blocks")).cast("int"))
 
     def pack(t):
