@@ -24,7 +24,7 @@ def main() -> None:
     macros = readers.read_macros(spark, a.macros, os.path.abspath(a.source)) if a.macros else None
     graph = extract(readers.c_files(spark, a.source), macros, a.mode)
     writers.write_graph(graph, a.output, a.format)
-    print(f"{graph.entities.count()} entities, {graph.relations.count()} relations in {time.time() - began:.1f} s")
+    print(f"{graph.entities.count()} entities, {graph.links.count()} relations in {time.time() - began:.1f} s")
     for row in writers.report(graph).orderBy("type").collect():
         print(f"  {row['type']}: {row['n']}")
 

@@ -22,21 +22,45 @@ ENTITY_COLUMNS = ("id", "name", "type", "scope", "role", "start_line", "end_line
 
 @dataclass
 class Graph:
-    """entities: ENTITY_COLUMNS and the internal gid (long), file, kind, seq, type_text.  relations: head, tail (arrays of ids), type, and where they come from."""
+    """entities: ENTITY_COLUMNS and the internal gid (long), file, kind, seq, type_text.  links: head and tail, each an id or
+    the name of all fields it stands for (struct<id:long, field:string>), type, and phase, file, seq for the output order."""
 
     entities: DataFrame
-    relations: DataFrame
+    links: DataFrame
     facts: DataFrame
     mode: str
 
     def public_entities(self) -> DataFrame:
         return self.entities.select(*ENTITY_COLUMNS)
 
+    def fields(self) -> DataFrame:
+        """(field, gid) of all fields by name."""
+        return self.entities.where("kind = 'FIELD'").select(F.col("name").alias("field"), "gid")
+
+    @property
+    def relations(self) -> DataFrame:
+        """head, tail (arrays of id strings), type, phase, file, seq, head_list, tail_list: as the JSON output has them, where a
+        field's name stands for the list of all fields of that name, and is a list there even if it's one."""
+        lists = self.fields().groupBy("field").agg(F.transform(F.sort_array(F.collect_list("gid")), lambda x: x.cast("string")).alias("ids"))
+        out = self.links
+        for end in ("head", "tail"):
+            named = lists.select(F.col("field").alias(f"__{end}"), F.col("ids").alias(f"__{end}_ids"))
+            out = out.join(named, F.col(f"{end}.field") == F.col(f"__{end}"), "left")
+        ids = lambda end: F.coalesce(f"__{end}_ids", F.array(F.col(f"{end}.id").cast("string"))).alias(end)
+        return out.select(ids("head"), ids("tail"), "type", "phase", "file", "seq", F.col("head.field").isNotNull().alias("head_list"), F.col("tail.field").isNotNull().alias("tail_list"))
+
     def edges(self) -> DataFrame:
-        """One row (head, tail, type) per pair of ids, as longs."""
-        e = self.relations.select(F.explode("head").alias("head"), "tail", "type", "phase", "file", "seq")
-        e = e.select("head", F.explode("tail").alias("tail"), "type", "phase", "file", "seq")
-        return e.withColumns({"head": F.col("head").cast("long"), "tail": F.col("tail").cast("long")})
+        """One row (head, tail, type) per pair of ids, as longs; a field's name joins its fields as rows."""
+        out = self.links
+        for end in ("head", "tail"):
+            named = self.fields().select(F.col("field").alias(f"__{end}"), F.col("gid").alias(f"__{end}_gid"))
+            out = out.join(named, F.col(f"{end}.field") == F.col(f"__{end}"), "left")
+        return out.select(F.coalesce("head.id", "__head_gid").alias("head"), F.coalesce("tail.id", "__tail_gid").alias("tail"), "type", "phase", "file", "seq")
+
+
+def one(gid: Column) -> Column:
+    """The end of a link that is one entity."""
+    return F.struct(gid.cast("long").alias("id"), F.lit(None).cast("string").alias("field"))
 
 
 def entities_of(facts: DataFrame, files: DataFrame) -> DataFrame:
@@ -63,6 +87,14 @@ def entities_of(facts: DataFrame, files: DataFrame) -> DataFrame:
     return numbered.select(gid.cast("string").alias("id"), "name", type_.alias("type"), "scope", "role", "start_line", "end_line", F.when(F.col("kind") != "FILE", F.col("file")).alias("source_file"), gid.cast("long").alias("gid"), "file", "kind", "seq", "type_text")
 
 
+#: Room for the ids of one kind in the order of a file's content.
+KIND_PLACES = 1 << 48
+
+
+def kind_place(kind: str) -> int:
+    return KINDS.index(kind) * KIND_PLACES
+
+
 def kind_rank(kind: Column) -> Column:
     out = F.lit(None).cast("int")
     for i, k in enumerate(KINDS):
@@ -81,7 +113,7 @@ class Symbols:
         latest = F.max_by("gid", F.struct(F.col("kind") == "PARAM", F.col("gid"))).alias("id")  # a parameter wins
         self.variables = of("VARIABLE", "PARAM").groupBy("name", "scope").agg(latest)
         self.own_variables = of("VARIABLE", "PARAM").groupBy("file", "name", "scope").agg(latest)
-        self.fields = of("FIELD").groupBy("name").agg(F.sort_array(F.collect_list("gid")).alias("ids"))
+        self.fields = of("FIELD").select("name").distinct()
         preferred = F.max_by("gid", F.struct(F.col("scope") == "global", F.col("gid"))).alias("id")
         self.structs = of("STRUCT").groupBy("name").agg(preferred)
         self.own_structs = of("STRUCT").groupBy("file", "name").agg(preferred)
@@ -110,16 +142,19 @@ class Symbols:
         return joined.withColumn(out, F.coalesce("__own", "__any")).drop("__own", "__any")
 
     def resolve(self, df: DataFrame) -> DataFrame:
-        """Candidates (file, kind, fn, name, is_field) with ids: the first of function, variable here, global variable, fields
-        by name.  Returned names are never functions or, by name alone, fields; shipped calls don't look at globals."""
+        """Candidates (file, kind, fn, name, is_field) with ``end``: the first of function, variable here, global variable,
+        fields by name.  Returned names are never functions or, by name alone, fields; shipped calls don't look at globals.
+        Fields stay a name, as a reference stands for all of that name."""
         called, returned = F.col("kind") == "CALL", F.col("kind") == "RETURN"
         out = self.function(df, "name", "__f")
         out = self.variable(out, "name", F.col("fn"), "__v")
         out = self.variable(out, "name", F.lit("global"), "__g")
-        out = out.join(self.fields.select(F.col("name").alias("__n"), F.col("ids").alias("__l")), F.col("name") == F.col("__n"), "left").drop("__n")
-        single = lambda c, use=F.lit(True): F.when(F.col(c).isNotNull() & use, F.array(c))
-        found = F.coalesce(single("__f", ~returned), single("__v"), single("__g", ~called if self.shipped else F.lit(True)), F.when(~returned, F.col("__l")))
-        return out.withColumn("ids", F.when(F.col("is_field"), F.col("__l")).otherwise(found)).drop("__f", "__v", "__g", "__l")
+        out = out.join(self.fields.select(F.col("name").alias("__n")), F.col("name") == F.col("__n"), "left")
+        found = F.coalesce(F.when(~returned, F.col("__f")), F.col("__v"), F.when(~called if self.shipped else F.lit(True), F.col("__g")))
+        id_ = F.when(~F.col("is_field"), found)
+        field = F.when(id_.isNull() & (F.col("is_field") | ~returned), F.col("__n"))
+        end = F.when(id_.isNotNull() | field.isNotNull(), F.struct(id_.cast("long").alias("id"), field.alias("field")))
+        return out.withColumn("end", end).drop("__f", "__v", "__g", "__n")
 
 
 def _all(conditions: list) -> Column:
@@ -148,7 +183,7 @@ def macro_in_side(sides: DataFrame, macros: DataFrame | None, callee_end: bool)
 
 
 def resolve_references(facts: DataFrame, symbols: Symbols, macros: DataFrame | None) -> DataFrame:
-    """Sides of calls, assignments and returns with ``ids``, an array: what the side resolves to; and ``owner``, the
+    """Sides of calls, assignments and returns with ``end``: what the side resolves to; and ``owner``, the
     function around it.  One pass of joins serves all kinds."""
     refs = facts.where(F.col("kind").isin("CALL", "ASSIGN", "RETURN")).select("file", "kind", "seq", "fn", F.posexplode("sides").alias("s", "side"), F.element_at("sides", -1).alias("callee"))
     refs = refs.where("kind <> 'CALL' or s = 0")
@@ -157,55 +192,56 @@ def resolve_references(facts: DataFrame, symbols: Symbols, macros: DataFrame | N
     expanded = F.when(F.col("kind") != "RETURN", F.col("expanded"))
     cands = F.when(expanded.isNotNull(), F.array(F.struct(expanded.alias("name"), F.lit(False).alias("is_field")))).otherwise(F.col("side.cands"))
     each = looked.select("file", "kind", "seq", "fn", "s", F.posexplode(cands).alias("pos", "c")).select("file", "kind", "seq", "fn", "s", "pos", "c.name", "c.is_field")
-    found = symbols.resolve(each).where("ids is not null").groupBy("file", "kind", "seq", "fn", "s").agg(F.min_by("ids", "pos").alias("ids"))
+    found = symbols.resolve(each).where("end is not null").groupBy("file", "kind", "seq", "fn", "s").agg(F.min_by("end", "pos").alias("end"))
     return symbols.function(found, "fn", "owner")
 
 
 def relations_of(facts: DataFrame, entities: DataFrame, macros: DataFrame | None, mode: str) -> DataFrame:
-    """All relations: head, tail (arrays of id strings), type, and phase, file, seq for the output order."""
+    """All relations as Graph.links has them."""
     shipped, symbols = mode == "shipped", Symbols(entities, mode)
     of = lambda *kinds: entities.where(F.col("kind").isin(*kinds))
 
     def out(df: DataFrame, head: Column, tail: Column, type_: str, seq: Column | None = None) -> DataFrame:
-        ids = lambda c: F.transform(c, lambda x: x.cast("string"))
-        return df.select(ids(head).alias("head"), ids(tail).alias("tail"), F.lit(type_).alias("type"), F.lit(RELATIONS.index(type_)).alias("phase"), F.col("file"), (F.col("seq") if seq is None else seq).cast("long").alias("seq"))
+        return df.select(head.alias("head"), tail.alias("tail"), F.lit(type_).alias("type"), F.lit(RELATIONS.index(type_)).alias("phase"), F.col("file"), (F.col("seq") if seq is None else seq).cast("long").alias("seq"))
 
     sides = kept(resolve_references(facts, symbols, macros), "sides")
-    parts = [out(sides.where("kind = 'CALL' and owner is not null"), F.array("owner"), F.col("ids"), "CALLS")]
+    parts = [out(sides.where("kind = 'CALL' and owner is not null"), one(F.col("owner")), F.col("end"), "CALLS")]
 
-    both = sides.where("kind = 'ASSIGN'").groupBy("file", "seq").agg(F.max(F.when(F.col("s") == 0, F.col("ids"))).alias("l"), F.max(F.when(F.col("s") == 1, F.col("ids"))).alias("r"))
+    both = sides.where("kind = 'ASSIGN'").groupBy("file", "seq").agg(F.max(F.when(F.col("s") == 0, F.col("end"))).alias("l"), F.max(F.when(F.col("s") == 1, F.col("end"))).alias("r"))
     parts.append(out(both.where("l is not null and r is not null"), F.col("l"), F.col("r"), "ASSIGNED_TO"))
 
-    # ids inside a file are dense, so a target's id also gives its place among the file's edges
+    # by kind and id within a file
     inside = of("FUNCTION", "STRUCT", "TYPEDEF", "ENUM").unionByName(of("VARIABLE").where("scope = 'global'"))
     file_ids = of("FILE").select(F.col("file").alias("f"), F.col("gid").alias("file_id"))
     if shipped:
-        named = of("FUNCTION").groupBy("name").agg(F.max("gid").alias("gid")).select("gid")
-        structs = of("STRUCT").groupBy("name", "scope").agg(F.max("gid").alias("gid")).select("gid")
+        # of several definitions the last counts, at the place of the first
+        place = lambda kind, gid: (F.lit(kind_place(kind)) + gid).alias("seq")
+        named = of("FUNCTION").groupBy("name").agg(F.max("gid").alias("gid"), place("FUNCTION", F.min("gid"))).select("gid", "seq")
+        structs = of("STRUCT").groupBy("name", "scope").agg(F.max("gid").alias("gid"), place("STRUCT", F.min("gid"))).select("gid", "seq")
         with_globals = of("VARIABLE").where("scope = 'global'")
         last = with_globals.agg(F.max("file").alias("f"))
-        targets = named.union(structs).union(with_globals.join(last, F.col("file") == F.col("f"), "left_semi").select("gid"))
-        contained = file_ids.withColumnRenamed("f", "file").crossJoin(targets).withColumn("seq", F.col("gid"))  # every file with everything: a quirk to keep
+        targets = named.union(structs).union(with_globals.join(last, F.col("file") == F.col("f"), "left_semi").select("gid", place("VARIABLE", F.col("gid"))))
+        contained = file_ids.withColumnRenamed("f", "file").crossJoin(targets)  # every file with everything: a quirk to keep
     else:
-        contained = inside.join(file_ids, F.col("file") == F.col("f")).select("file", "file_id", "gid", F.col("gid").alias("seq"))
-    parts.append(out(contained, F.array("file_id"), F.array("gid"), "CONTAINS"))
+        contained = inside.join(file_ids, F.col("file") == F.col("f")).select("file", "file_id", "gid", (kind_rank(F.col("kind")).cast("long") * KIND_PLACES + F.col("gid")).alias("seq"))
+    parts.append(out(contained, one(F.col("file_id")), one(F.col("gid")), "CONTAINS"))
 
     def owned(rows: DataFrame, type_: str) -> DataFrame:
         linked = symbols.function(rows.select("file", "scope", "gid", F.col("gid").alias("seq")), "scope", "head").where("head is not null")
         if shipped:  # once for each file: a quirk to keep
             linked = linked.drop("file").crossJoin(file_ids.select(F.col("f").alias("file")))
-        return out(linked, F.array("head"), F.array("gid"), type_)
+        return out(linked, one(F.col("head")), one(F.col("gid")), type_)
 
     parts.append(owned(of("PARAM"), "HAS_PARAMETER"))
     parts.append(owned(of("VARIABLE").where("scope <> 'global'"), "HAS_VARIABLE"))
 
-    parts.append(out(sides.where("kind = 'RETURN' and owner is not null"), F.array("owner"), F.col("ids"), "RETURNS"))
+    parts.append(out(sides.where("kind = 'RETURN' and owner is not null"), one(F.col("owner")), F.col("end"), "RETURNS"))
 
     if not shipped:
         members = symbols.struct(of("FIELD").select("file", "scope", "gid", F.col("gid").alias("seq")), "scope", "head").where("head is not null")
-        parts.append(out(members, F.array("head"), F.array("gid"), "HAS_MEMBER"))
+        parts.append(out(members, one(F.col("head")), one(F.col("gid")), "HAS_MEMBER"))
         typed = symbols.struct(of("VARIABLE", "PARAM", "FIELD").where("type_text is not null").select("file", "type_text", "gid", F.col("gid").alias("seq")), "type_text", "tail").where("tail is not null")
-        parts.append(out(typed, F.array("gid"), F.array("tail"), "TYPE_OF"))
+        parts.append(out(typed, one(F.col("gid")), one(F.col("tail")), "TYPE_OF"))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)

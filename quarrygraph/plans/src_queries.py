@@ -64,7 +64,7 @@ def src_entity_ids_shipped(spark, sf_dir):
 
 
 def src_relation_histogram(spark, sf_dir):
-    return graph_queries.histogram(synth.graph(spark, sf_dir).relations)
+    return graph_queries.histogram(synth.graph(spark, sf_dir).links)
 
 
 def src_cst_types(spark, sf_dir):

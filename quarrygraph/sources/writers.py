@@ -7,22 +7,24 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph_build import ENTITY_COLUMNS, Graph
+from ..operators.graph_build import ENTITY_COLUMNS, RELATIONS, Graph, kind_rank
 from ..operators.macro_expansion import annotated_text
 from .scratch import kept
 
 
 def entity_json(graph: Graph) -> DataFrame:
-    """One JSON object per entity in output order; absent keys are left out."""
-    return graph.entities.orderBy("gid").select(F.to_json(F.struct(*ENTITY_COLUMNS)).alias("value"))
+    """One JSON object per entity in output order, which is by kind and then by id; absent keys are left out."""
+    return graph.entities.orderBy(kind_rank(F.col("kind")), "gid").select(F.to_json(F.struct(*ENTITY_COLUMNS)).alias("value"))
 
 
 def relation_json(graph: Graph) -> DataFrame:
-    """One JSON object per relation in output order; a single id is written alone, several as a list."""
-    ids = lambda c: F.when(F.size(c) == 1, F.to_json(F.struct(F.element_at(c, 1).alias("x")))).otherwise(F.to_json(F.struct(F.col(c).alias("x"))))
+    """One JSON object per relation in output order; an id is written alone, the fields of a name as a list."""
+    ids = lambda c: F.when(~F.col(f"{c}_list"), F.to_json(F.struct(F.element_at(c, 1).alias("x")))).otherwise(F.to_json(F.struct(F.col(c).alias("x"))))
     value = lambda c: F.regexp_extract(ids(c), r'^\{"x":(.*)\}$', 1)
     made = F.concat(F.lit('{"head":'), value("head"), F.lit(',"tail":'), value("tail"), F.lit(',"type":"'), "type", F.lit('"}'))
-    return graph.relations.orderBy("phase", "file", "seq").select(made.alias("value"))
+    # the types after these come file by file
+    early = RELATIONS.index("HAS_PARAMETER")
+    return graph.relations.orderBy(F.least("phase", F.lit(early)), "file", "phase", "seq").select(made.alias("value"))
 
 
 def write_graph(graph: Graph, path: str, format: str = "parquet") -> None:
@@ -106,7 +108,7 @@ def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def report(graph: Graph) -> DataFrame:
     """Counts of relations by type."""
-    return graph.relations.groupBy("type").agg(F.count("*").alias("n"))
+    return graph.links.groupBy("type").agg(F.count("*").alias("n"))
 
 
 def write_csv(graph: Graph, path: str) -> None:

@@ -82,7 +82,7 @@ def test_intended_edges(graphs):
 
 def test_shipped_quirks(graphs):
     g = graphs["shipped"]
-    counts = {r["type"]: r["n"] for r in graph_queries.histogram(g.relations).collect()}
+    counts = {r["type"]: r["n"] for r in graph_queries.histogram(g.links).collect()}
     assert "HAS_MEMBER" not in counts and "TYPE_OF" not in counts
     assert counts["CONTAINS"] == 2 * (6 + 2 + 2)
     assert counts["HAS_PARAMETER"] == 2 * 2 and counts["HAS_VARIABLE"] == 2 * 3
@@ -250,6 +250,15 @@ def test_a_whole_graph_as_shipped(whole):
     want += [("HAS_PARAMETER", h, x) for h, x in (("check_one", "a"), ("check_one", "b"), ("check_all", "slot"), ("check_all", "limit")) for _ in range(2)]
     want += [("HAS_VARIABLE", "check_all", "seen")] * 2
     assert edges == sorted(want)
+    # the JSON output: entities by kind, fields as lists, and the later types file by file
+    kinds = [json.loads(r["value"])["type"] for r in writers.entity_json(g).collect()]
+    assert kinds == ["FILE"] * 2 + ["FUNCTION"] * 3 + ["STRUCT"] * 2 + ["VARIABLE"] * 6 + ["FIELD"] * 5
+    out = [json.loads(r["value"]) for r in writers.relation_json(g).collect()]
+    ids = {v: str(k) for k, v in name.items()}
+    assert {"head": [ids["check"]], "tail": ids["check_one"], "type": "ASSIGNED_TO"} in out
+    assert [r["tail"] for r in out if r["type"] == "CONTAINS"][:6] == [ids[x] for x in every]
+    late = [r["type"] for r in out if r["type"] not in ("CALLS", "ASSIGNED_TO", "CONTAINS")]
+    assert late == (["HAS_PARAMETER"] * 4 + ["HAS_VARIABLE", "RETURNS"]) * 2
 
 
 def test_a_whole_graph_as_intended(whole):
