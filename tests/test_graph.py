@@ -113,7 +113,7 @@ def test_sinks_round_trip(spark, graphs, tmp_path):
     back = readers.read_relations(spark, str(tmp_path / "r.json"))
     assert sorted((tuple(r["head"]), tuple(r["tail"]), r["type"]) for r in back.collect()) == sorted((tuple(r["head"]), tuple(r["tail"]), r["type"]) for r in g.relations.collect())
     entities = [json.loads(r["value"]) for r in writers.entity_json(g).collect()]
-    assert list(entities[0]) == ["id", "name", "type"] and "source_file" in entities[1]
+    assert list(entities[0]) == ["id", "name", "type"] and "source_file" in entities[2]
     (tmp_path / "e.json").write_text(json.dumps(entities))
     assert readers.read_entities(spark, str(tmp_path / "e.json")).count() == len(entities)
     lines = [r["value"] for r in writers.dot_lines(*graph_queries.styled(g.public_entities(), g.edges().select("head", "tail", "type"))).collect()]
