@@ -120,9 +120,15 @@ def rich_macros(spark: SparkSession, sf_dir: str) -> DataFrame:
 _graphs: dict[tuple, Graph] = {}
 
 
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """What the rendered sources hang on, so that a changed table gives a new graph."""
+    keys = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
+    return tuple(keys.agg(F.count("*"), F.sum(F.xxhash64("p_partkey").cast("decimal(38,0)"))).first())
+
+
 def graph(spark: SparkSession, sf_dir: str, mode: str = "intended") -> Graph:
-    """The graph of the rendered sources, parsed once per session and mode."""
-    key = (spark.sparkContext.applicationId, sf_dir, mode)
+    """The graph of the rendered sources, parsed once per session, table and mode."""
+    key = (spark.sparkContext.applicationId, sf_dir, mode, _state(spark, sf_dir))
     if key not in _graphs:
         _graphs[key] = extract(files(spark, sf_dir), macros(spark, sf_dir), mode)
     return _graphs[key]
@@ -130,7 +136,7 @@ def graph(spark: SparkSession, sf_dir: str, mode: str = "intended") -> Graph:
 
 def rich_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph of both kinds of rendered sources, in the intended mode."""
-    key = (spark.sparkContext.applicationId, sf_dir, "rich")
+    key = (spark.sparkContext.applicationId, sf_dir, "rich", _state(spark, sf_dir))
     if key not in _graphs:
         both = files(spark, sf_dir).unionByName(rich_files(spark, sf_dir))
         _graphs[key] = extract(both, macros(spark, sf_dir).unionByName(rich_macros(spark, sf_dir)), "intended")
