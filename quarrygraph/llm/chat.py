@@ -29,8 +29,9 @@ def format_conversations(turns: DataFrame, trained_roles: tuple[str, ...] = ("as
 
     Turns are sorted by turn (nulls first), then role and text, so ties and repeated rows have a fixed order; adjacent
     turns of one role are one block.  A null text or role is empty.  ``loss`` marks the texts of trained roles, nothing
-    of the template.  A null conv_id is a conversation too.  One conversation is one output row, so it is built in one
-    task, in time linear in its length.
+    of the template.  A null conv_id is a conversation too; an empty table stays empty; very long texts are taken whole;
+    other columns, whatever their names, are not read.  One conversation is one output row, so it is built in one task, in
+    time linear in its length.
     """
     one = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     sorted_turns = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("t"))

@@ -626,6 +626,11 @@ def test_chat(spark):
         assert "".join(s["text"] for s in r["segments"]) == r["formatted"]
         assert r["formatted"].count("<|end|>") == sum(i == 0 or want[i][1] != want[i - 1][1] for i in range(len(want)))
     assert chat.format_conversations(df.limit(0)).count() == 0
+    long = "a <| b \\ " * 100_000
+    many = spark.createDataFrame([(1, 1, "user", long), (1, 2, "assistant", long), *((2, i, "assistant", "<|end|>") for i in range(5000))], "conv_id long, turn long, role string, text string")
+    back = {r["conv_id"]: r for r in chat.format_conversations(many).select("conv_id", "n_turns", chat.loss_text(F.col("segments")).alias("loss"), chat.parse(F.col("formatted")).alias("turns")).collect()}
+    assert back[1]["loss"] == long and [t["text"] for t in back[1]["turns"]] == [long, long]
+    assert back[2]["n_turns"] == 5000 and back[2]["loss"] == "<|end|>" * 5000
 
 
 # mixing
