@@ -205,6 +205,49 @@ def src_expand(spark, sf_dir):
     return out.select("file", F.col("line").cast("long").alias("line"), "macro", "expansion", "status")
 
 
+#: Binary operators from the loosest to the tightest.
+BINARY = ("||", "&&", "|", "^", "&", "==", "<", "<<", "+", "*")
+
+
+def _one_per_key(spark, sf_dir, text):
+    """A file for each 50 keys, with the text of every key in order."""
+    p = synth.parts(spark, sf_dir).select(F.replace(F.col("file"), F.lit("/f"), F.lit("/g")).alias("file"), "k", text.alias("text"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "text"))), lambda b: b["text"]), "\n")
+    return p.groupBy("file").agg(F.encode(whole, "UTF-8").alias("content"))
+
+
+def src_precedence(spark, sf_dir):
+    """What stands left and right of the loosest operator of a OP b OP c, for every pair of operators."""
+    op = lambda i: F.element_at(F.array(*[F.lit(x) for x in BINARY]), (i % len(BINARY)).cast("int") + 1)
+    text = F.concat(F.lit("int f(void) { return a "), op(F.col("k")), F.lit(" b "), op(F.expr("k div 10")), F.lit(" c; }"))
+    t = kept(trees.parse_files(_one_per_key(spark, sf_dir, text)), "tree")
+    back = t.where("type = 'return_statement'").select("file", F.col("pre").alias("parent_pre"))
+    tops = t.where("type = 'binary_expression'").join(back, ["file", "parent_pre"]).select("file", "pre", (F.col("start_row") + 1).cast("long").alias("line"))
+    out = tops
+    for side in ("left", "right"):
+        kinds = t.select("file", F.col("pre").alias("child"), F.col("type").alias(side))
+        out = out.join(trees.field_child(t, tops.select("file", "pre"), side).join(kinds, ["file", "child"]).select("file", "pre", side), ["file", "pre"])
+    return out.select("file", "line", "left", "right")
+
+
+def src_conditional_functions(spark, sf_dir):
+    """Functions of every branch of a condition, and the branch they stand in."""
+    branch = lambda head, name: f"{head}\nint {name}_{{k}}(void) {{ return 1; }}\n"
+    text = F.replace(F.lit(branch("#if A_{k}", "one") + branch("#elif B_{k}", "two") + branch("#else", "three") + "#endif"), F.lit("{k}"), F.col("k").cast("string"))
+    t = kept(trees.parse_files(_one_per_key(spark, sf_dir, text)), "tree")
+    functions = t.where("type = 'function_definition'").select("file", "pre", "last")
+    names = trees.first_descendant(t, functions, "identifier")
+    around = trees.enclosing(t, functions.select("file", "pre"), "preproc_if", "preproc_elif", "preproc_else").join(t.select("file", F.col("pre").alias("outer"), "type"), ["file", "outer"])
+    return names.join(around, ["file", "pre"]).select("file", "name", F.col("type").alias("branch"))
+
+
+def src_ambiguous_statements(spark, sf_dir):
+    """A product that nobody uses is a declaration, a call is a call; comments stand anywhere; lines may be spliced."""
+    text = F.replace(F.lit("void g_{k}(void) { a_{k} * b_{k}; f_{k}(x); int \\\n c_{k}; return /* {k} */; } // {k}"), F.lit("{k}"), F.col("k").cast("string"))
+    t = trees.parse_files(_one_per_key(spark, sf_dir, text))
+    return t.groupBy("type").agg(F.count("*").alias("n"))
+
+
 def src_token_in_line(spark, sf_dir):
     """Which tokens stand in a line: words only whole, other tokens anywhere."""
     p = synth.parts(spark, sf_dir)
@@ -314,6 +357,9 @@ QUERIES = {
     "src_declarator_names": src_declarator_names,
     "src_enclosing_struct": src_enclosing_struct,
     "src_token_in_line": src_token_in_line,
+    "src_precedence": src_precedence,
+    "src_conditional_functions": src_conditional_functions,
+    "src_ambiguous_statements": src_ambiguous_statements,
     "src_rich_entities": src_rich_entities,
     "src_rich_relations": src_rich_relations,
     "src_rich_shipped": src_rich_shipped,
@@ -426,4 +472,9 @@ SELECT CASE WHEN text = ';' THEN 'delimiter' WHEN text IN ('->', '*', '=') THEN
   ('FIELD', 'deep_', 'any_', 7), ('FIELD', 'in_', 'any_', 6), ('FIELD', 'range_', 'any_', 9), ('FIELD', 'deep_', 'inner_', 7)) v(kind, name, scope, x)""",
     "src_rich_first_macro": P + """SELECT mode, kind, 'run_' || k AS fn, 'fn_' || CASE WHEN first THEN c ELSE b END AS expanded FROM p, (VALUES
   ('shipped', 'CALL', false), ('shipped', 'CALL', false), ('shipped', 'CALL', false), ('shipped', 'ASSIGN', false), ('intended', 'CALL', true), ('intended', 'CALL', false), ('intended', 'ASSIGN', false)) v(mode, kind, first)""",
+    "src_precedence": P + """SELECT replace(file, '/f', '/g') AS file, (i + 1)::BIGINT AS line, CASE WHEN first >= second THEN 'binary_expression' ELSE 'identifier' END AS left, CASE WHEN first >= second THEN 'identifier' ELSE 'binary_expression' END AS right
+FROM (SELECT file, i, k % 10 AS first, (k // 10) % 10 AS second FROM p)""",
+    "src_conditional_functions": P + "SELECT replace(file, '/f', '/g') AS file, name || '_' || k AS name, branch FROM p, (VALUES ('one', 'preproc_if'), ('two', 'preproc_elif'), ('three', 'preproc_else')) v(name, branch)",
+    "src_ambiguous_statements": P + _per("""function_definition:1 primitive_type:3 function_declarator:1 identifier:5 parameter_list:1 parameter_declaration:1 compound_statement:1 declaration:2 type_identifier:1
+  pointer_declarator:1 expression_statement:1 call_expression:1 argument_list:1 return_statement:1 comment:2 translation_unit:f1"""),
 }
