@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from . import shared, vectors
 
-NEIGHBOURS, BUILD_WIDTH = 16, 64
+NEIGHBOURS, BUILD_WIDTH = 16, 48
 #: Rows of a graph that are inserted at a time.
 BATCH = 512
-#: Rows that a step of a search expands for each query: the best of those not expanded yet.
+#: Rows that a step of a search of the lowest level expands for each query: the best of those not expanded yet.
 EXPAND = 8
 #: Bytes of a piece of a shard's arrays, and vectors of a query block: the rows that tasks exchange.
 PIECE, QUERY_ROWS = 1 << 20, 1024
@@ -138,9 +138,9 @@ class Graph:
         at = np.zeros((len(q), 1), dtype=np.int32)
         for level in range(len(self.links) - 1, 0, -1):
             at = self._beam(q, at, level, 8)
-        return self._beam(q, at, 0, width)
+        return self._beam(q, at, 0, width, EXPAND)
 
-    def _beam(self, q, entry, level: int, width: int):
+    def _beam(self, q, entry, level: int, width: int, expand: int = 1):
         """The ``width`` best rows of a level met from the entry rows on, best first; -1 fills up."""
         import numpy as np
 
@@ -155,13 +155,13 @@ class Graph:
         done[:, :k] = ids[:, :k] < 0
         for j in range(k):
             visited[rows, slot[np.maximum(ids[:, j], 0)]] |= ids[:, j] >= 0
-        step = min(EXPAND, width)
+        step = min(expand, width)
         while True:
             pending = np.where(done, -np.inf, score)
             live = np.flatnonzero(pending.max(1) > -np.inf)
             if not len(live):
                 return np.take_along_axis(ids, np.argsort(-score, axis=1, kind="stable"), 1)
-            pick = np.argpartition(-pending[live], step - 1, axis=1)[:, :step]
+            pick = pending[live].argmax(1)[:, None] if step == 1 else np.argpartition(-pending[live], step - 1, axis=1)[:, :step]
             good = np.take_along_axis(pending[live], pick, 1) > -np.inf
             done[live[:, None], pick] = True
             near = np.where(good[..., None], links[slot[np.maximum(ids[live[:, None], pick], 0)]], -1).reshape(len(live), -1)
@@ -170,8 +170,9 @@ class Graph:
             # only rows not met before are compared, and those that several of the expanded ones link to once
             fresh = ~visited[live[line], slot[row]]
             line, row = line[fresh], row[fresh]
-            _, once = np.unique(line * np.int64(len(self.x)) + row, return_index=True)
-            line, row = line[once], row[once]
+            if step > 1:
+                _, once = np.unique(line * np.int64(len(self.x)) + row, return_index=True)
+                line, row = line[once], row[once]
             visited[live[line], slot[row]] = True
             count = np.bincount(line, minlength=len(live))
             within = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
