@@ -36,7 +36,7 @@ def _unit(x):
 class Shingler:
     """Multisets of hashed word shingles of whole texts."""
 
-    def __init__(self, words: int = 5, max_words: int = 400_000):
+    def __init__(self, words: int = 5, max_words: int = 200_000):
         self.n, self.max_words, self.seen = words, max_words, {}
 
     def bag(self, text: str):
@@ -146,11 +146,12 @@ def sign(docs: DataFrame) -> DataFrame:
 
         shingler = Shingler()
         for b in batches:
-            keys, texts = b.columns[:3], b.column(3).to_pylist()
+            keys, texts = b.columns[:3], b.column(3)
             for at in range(0, len(texts), 256):
-                bands, sketch = _bands(signatures([shingler.bag(x) for x in texts[at : at + 256]]))
+                bands, sketch = _bands(signatures([shingler.bag(x) for x in texts.slice(at, 256).to_pylist()]))
                 lists = pa.ListArray.from_arrays(pa.array(range(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel()))
                 yield pa.RecordBatch.from_arrays([*(c[at : at + 256] for c in keys), lists, pa.array([s.tobytes() for s in sketch], pa.binary())], names=["doc_id", "k1", "k2", "bands", "sketch"])
+        shared.trim()
 
     few = docs.select(F.col("doc_id").cast("long"), *text_key(F.col("text")), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return few.mapInArrow(run, "doc_id long, k1 long, k2 long, bands array<long>, sketch binary")
@@ -185,6 +186,7 @@ def _verified(pairs: DataFrame, unique: DataFrame, docs: DataFrame, threshold: f
                     good[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in good], names=["a", "b"])
             good = ([], [])
+        shared.trim()
 
     texts = shared.materialize(_texts(pairs.select(F.col("a").alias("t")).union(pairs.select(F.col("b").alias("t"))), unique, docs), "texts")
     counts = shared.materialize(pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(float(block_rows))).cast("int").alias("blocks")), "counts")
@@ -304,6 +306,7 @@ def _leftover_links(members: DataFrame, unique: DataFrame, docs: DataFrame, thre
             return t[some], t[low[some]]
 
         yield from _blocks_of(batches, exact)
+        shared.trim()
 
     return dealt(spread).mapInArrow(linked, "a long, b long").distinct()
 
@@ -325,7 +328,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     deviations, so one link in 10^5 at the threshold, rarer above), no bucket's pairs are emitted, and a pair at the
     threshold shares a bucket with chance 0.9999.
     """
-    signed = shared.materialize(sign(docs), "signed")
+    with shared.few_records(docs.sparkSession, shared.TEXT_RECORDS):
+        signed = shared.materialize(sign(docs), "signed")
     unique = signed.groupBy("k1", "k2").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"))
     unique = shared.materialize(unique.withColumn("t", F.monotonically_increasing_id()), "unique")
     in_band = unique.select("t", F.explode("bands").alias("bucket"))
@@ -339,13 +343,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     best = pairs.select("t", "rep", agree.alias("agree")).where(F.col("agree") >= (threshold - ESTIMATE_SLACK) * REGISTERS)
     best = best.groupBy("t").agg(F.max_by("rep", F.struct("agree", "rep")).alias("rep"))
     first = shared.materialize(best.select(F.col("t").alias("a"), F.col("rep").alias("b")), "pairs")
-    links = shared.materialize(_verified(first, unique, docs, threshold), "verified")
+    with shared.few_records(docs.sparkSession, shared.TEXT_RECORDS):
+        links = shared.materialize(_verified(first, unique, docs, threshold), "verified")
     groups = shared.materialize(shared.components(links), "groups")
     labelled = members.select("bucket", "t").join(groups.withColumnRenamed("id", "t"), "t", "left").withColumn("component", F.coalesce("component", "t"))
     labelled = shared.materialize(labelled, "labelled")
     mixed = shared.materialize(labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket"), "buckets")
     rest = shared.materialize(labelled.join(mixed, "bucket").join(sketches, "t"), "mixed")
-    more = shared.materialize(_leftover_links(rest, unique, docs, threshold), "verified")
+    with shared.few_records(docs.sparkSession, shared.TEXT_RECORDS):
+        more = shared.materialize(_leftover_links(rest, unique, docs, threshold), "verified")
     groups = shared.components(links.union(more))
     judged = unique.select("t", "k1", "k2", "least").join(groups.withColumnRenamed("id", "t"), "t", "left").withColumn("component", F.coalesce("component", "t"))
     classes = judged.groupBy("component").agg(F.min("least").alias("class_id"), F.min(F.struct(F.col("least").isNull(), "least", "k1", "k2", "t"))["t"].alias("chosen"))

@@ -33,10 +33,10 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, seq_len: int = 2048, end_i
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
             rows, held = [], 0
             for at in range(0, len(ids), 256):
-                coded = enc.encode([t or "" for t in texts[at : at + 256]])
+                coded = enc.encode([t or "" for t in texts.slice(at, 256).to_pylist()])
                 for d, raw in zip(ids[at : at + 256], coded):
                     raw += end
                     n = len(raw) // 4
@@ -52,6 +52,7 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, seq_len: int = 2048, end_i
                     rows, held = [], 0
             if rows:
                 yield flush(rows)
+        shared.trim()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
 
@@ -133,7 +134,8 @@ def pack(pieces: DataFrame, seq_len: int = 2048, rows_per_partition: int = 100_0
     spark = pieces.sparkSession
     shared.ship(spark)
     pieces = pieces.drop("sequence_id", "offset", "given_up")
-    pieces = shared.materialize(pieces, "pack")
+    with shared.few_records(spark, shared.TEXT_RECORDS):  # pieces may come from texts only now
+        pieces = shared.materialize(pieces, "pack")
     added = StructType([StructField("sequence_id", LongType()), StructField("offset", LongType()), StructField("given_up", BooleanType())])
     schema = StructType(pieces.schema.fields + added.fields)
     histogram = pieces.groupBy("length").count()  # at most seq_len rows

@@ -184,20 +184,20 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     docs = docs.drop("score")
     net_p = net.p
 
-    import pandas as pd
+    import pyarrow as pa
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Network.__new__(Network)
         own.p = net_p
         for texts in batches:
-            texts = texts.fillna("").tolist()
             out: list[float] = []
-            for at in range(0, len(texts), 32):
-                out += score_texts(own, texts[at : at + 32])
-            yield pd.Series(out, dtype="float64")
+            for at in range(0, len(texts), 32):  # few texts at a time are Python strings
+                out += score_texts(own, [t or "" for t in texts.slice(at, 32).to_pylist()])
+            yield pa.array(out, pa.float64())
+        shared.trim()
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn("score", F.pandas_udf(run, "double")(F.col("text")))
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return docs.withColumn("score", F.arrow_udf(run, "double")(F.col("text")))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

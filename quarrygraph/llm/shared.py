@@ -56,6 +56,23 @@ def few_records(spark: SparkSession, n: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+#: Texts that a pass over whole texts hands to Python at a time.
+TEXT_RECORDS = 2_000
+
+
+def trim() -> None:
+    """Give memory that a pass no longer uses back to the system, as Python workers live on after their tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table behind a frame that materialize() returned and that nothing reads any more."""
     path = getattr(df, "_quarry_path", None)

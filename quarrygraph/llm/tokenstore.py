@@ -123,12 +123,12 @@ def write_token_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: in
         writer, n_docs, n_tokens = None, 0, 0
         final = f"{folder}/shard-{task.partitionId():06d}.tok"
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(ids), 256):
                 if writer is None:
                     stream, store, inside = _open(f"{final}.{task.taskAttemptId()}", "w")
                     writer = ShardWriter(stream)
-                for d, raw in zip(ids[at : at + 256], enc.encode(texts[at : at + 256])):
+                for d, raw in zip(ids[at : at + 256], enc.encode(texts.slice(at, 256).to_pylist())):
                     writer.add(d, raw + end)
                     n_docs, n_tokens = n_docs + 1, n_tokens + len(raw) // 4 + 1
         if writer is not None:
@@ -138,7 +138,8 @@ def write_token_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: in
 
     spark.createDataFrame([], "shard int").write.mode("overwrite").parquet(folder)  # makes the folder in whatever store it is
     dealt = few.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    wrote = shared.materialize(dealt.mapInArrow(write, "shard int, path string, n_docs long, n_tokens long"), "manifest")
+    with shared.few_records(spark, shared.TEXT_RECORDS):
+        wrote = shared.materialize(dealt.mapInArrow(write, "shard int, path string, n_docs long, n_tokens long"), "manifest")
     # a shard is thousands of documents, so this list is short even for a very large corpus
     from pyspark.sql import Window
 
