@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import kept
+from .graph_build import Graph
 
 #: Colours by type, and for types without one.
 NODE_COLORS = {"FILE": "#f7c59f", "FUNCTION": "#f6f930", "VARIABLE": "#84dcc6", "STRUCT": "#e07a5f", "FIELD": "#57a773", "TYPEDEF": "#6a4c93"}
@@ -95,6 +98,43 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.exceptAll(a).withColumn("change", F.lit("added")).unionByName(a.exceptAll(b).withColumn("change", F.lit("removed")))
 
 
+def diff_histogram(before: Graph, after: Graph) -> DataFrame:
+    """(type, change, n): what diff() of the graphs' edges has, counted by type.
+
+    Files' products stay factors: distinct ones have as many edges as their files times their tails, and only the edges of
+    both graphs that are stated are looked up in them.
+    """
+    e = None
+    for at, g in (("a", before), ("b", after)):
+        rows = g.stated_edges().select("head", "tail", "type")
+        if g.everywhere is not None:
+            rows = rows.union(g.edges_everywhere().where("head is not null").select("head", "tail", "type"))
+        rows = rows.select("head", "tail", "type", *[F.lit(x == at).alias(x) for x in ("a", "b")])
+        e = rows if e is None else e.unionByName(rows)
+    e = e.groupBy("head", "tail", "type").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    factors = {}
+    for at, g in (("a", before), ("b", after)):
+        if g.everywhere is None:
+            e = e.withColumn(f"in_{at}", F.lit(False))
+            continue
+        heads, tails = g.files.select(F.col("gid").alias("head")).distinct(), g.edges_everywhere().where("head is null").select("type", "tail").distinct()
+        factors[at] = (heads, tails)
+        e = e.join(heads.withColumn("__head", F.lit(True)), "head", "left").join(tails.withColumn("__tail", F.lit(True)), ["type", "tail"], "left")
+        e = e.withColumn(f"in_{at}", F.col("__head").isNotNull() & F.col("__tail").isNotNull()).drop("__head", "__tail")
+    parts = []
+    for change, x, y in (("removed", "a", "b"), ("added", "b", "a")):
+        # stated by x alone, and stated by y in what only x has as a product
+        gone = F.col(x) & ~F.col(f"in_{x}") & ~F.col(y) & ~F.col(f"in_{y}")
+        common = F.col(f"in_{x}") & F.col(y) & ~F.col(f"in_{y}")
+        parts.append(e.select("type", F.lit(change).alias("change"), (gone.cast("long") - common.cast("long")).alias("n")))
+        if x in factors:
+            product = lambda heads, tails, sign: tails.groupBy("type").agg(F.count("*").alias("m")).crossJoin(heads.agg(F.count("*").alias("files"))).select("type", F.lit(change).alias("change"), (sign * F.col("m") * F.col("files")).alias("n"))  # noqa: B023, E731
+            parts.append(product(*factors[x], 1))
+            if y in factors:
+                parts.append(product(factors[x][0].intersect(factors[y][0]), factors[x][1].intersect(factors[y][1]), -1))
+    return reduce(DataFrame.unionByName, parts).groupBy("type", "change").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def styled(entities: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Node and edge tables with labels and colours, for drawing."""
     nodes = entities.select("id", label(F.col("name"), F.col("type")).alias("label"), style(F.col("type"), NODE_COLORS, OTHER_NODE).alias("color"))
